@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import tokenizer
+from lectern.llm import boilerplate, leakage, repeats, tokenizer
 
-QUERIES = {"p8_ids": tokenizer.p8_ids}
+QUERIES = {
+    "p5_found": boilerplate.p5_found,
+    "p5_stories": boilerplate.p5_stories,
+    "p7_found": repeats.p7_found,
+    "p7_blocks": repeats.p7_blocks,
+    "p8_ids": tokenizer.p8_ids,
+    "p9_found": leakage.p9_found,
+    "p9_clean": leakage.p9_clean,
+}
