@@ -27,14 +27,15 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same split for texts without letter-like or fractional numerals, in the faster standard engine.
 PLAIN_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Control characters that only the standard engine calls white space.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters of one block: bounds the memory of a block's row.
 BLOCK_CHARS = 1_000_000
 
 
-def _odd_characters() -> str:
-    """A class of the characters that the two engines put into different classes, from the Unicode data itself."""
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No") or c in "\x1c\x1d\x1e\x1f"]
-    return "[" + re.escape("".join(odd)) + "]"
+def _odd_characters() -> frozenset[str]:
+    """The characters that the two engines put into different classes, from the Unicode data itself."""
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) | frozenset(SEPARATORS)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,13 +44,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _blocks(batches: Iterator[pd.DataFrame], odd_class: str) -> Iterator[pd.DataFrame]:
+def _blocks(batches: Iterator[pd.DataFrame], odd: frozenset[str]) -> Iterator[pd.DataFrame]:
     """Rows (block, doc_ids, lengths, codes, words): the texts of a block as numbers of its own words."""
     import regex
     from pyspark import TaskContext
 
     full = regex.compile(PRE_TOKEN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    odd, part, made = re.compile(odd_class), TaskContext.get().partitionId(), 0
+    part, made = TaskContext.get().partitionId(), 0
 
     def flush():
         nonlocal made
@@ -60,7 +61,7 @@ def _blocks(batches: Iterator[pd.DataFrame], odd_class: str) -> Iterator[pd.Data
     ids, lengths, codes, seen, size = [], [], [], {}, 0
     for pdf in batches:
         for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-            words = (full if odd.search(text) else PLAIN_TOKEN).findall(text) if text else []
+            words = (PLAIN_TOKEN if odd.isdisjoint(SEPARATORS if text.isascii() and any(map(text.__contains__, SEPARATORS)) else () if text.isascii() else set(text)) else full).findall(text) if text else []
             for w in words:
                 code = seen.get(w)
                 if code is None:
@@ -108,8 +109,8 @@ def encode(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str
                 yield pd.DataFrame({"doc_id": doc_ids, "ids": [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]})
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    odd_class = _odd_characters()
-    blocks = staged(source.mapInPandas(lambda batches: _blocks(batches, odd_class), "block long, doc_ids array<long>, lengths array<int>, codes array<int>, words array<string>"), "token-blocks")
+    odd = _odd_characters()
+    blocks = staged(source.mapInPandas(lambda batches: _blocks(batches, odd), "block long, doc_ids array<long>, lengths array<int>, codes array<int>, words array<string>"), "token-blocks")
     words = blocks.select("block", F.posexplode("words").alias("no", "word"))
     distinct = words.select("word").distinct().repartition(task_count(spark), "word").mapInPandas(encoded, "word string, ids array<int>")
     tables = words.join(distinct, "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("table"))
