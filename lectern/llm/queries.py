@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from lectern.llm import boilerplate, leakage, repeats, tokenizer
+from lectern.llm import boilerplate, cooccurrence, languages, leakage, repeats, sentences, tokenizer
 
 QUERIES = {
+    "p2_found": cooccurrence.p2_found,
+    "p2_updated": cooccurrence.p2_updated,
     "p5_found": boilerplate.p5_found,
     "p5_stories": boilerplate.p5_stories,
+    "p6_found": sentences.p6_found,
     "p7_found": repeats.p7_found,
     "p7_blocks": repeats.p7_blocks,
     "p8_ids": tokenizer.p8_ids,
     "p9_found": leakage.p9_found,
     "p9_clean": leakage.p9_clean,
+    "p10_found": languages.p10_found,
+    "p10_segments": languages.p10_segments,
 }
