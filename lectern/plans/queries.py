@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from lectern.plans import dates
+
+QUERIES: dict = {"p1_found": dates.p1_found}
