@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import boilerplate, cooccurrence, languages, leakage, nearcopies, repeats, sentences, tokenizer
+from lectern.llm import boilerplate, cooccurrence, languages, leakage, names, nearcopies, repeats, sentences, tokenizer
 
 QUERIES = {
     "p2_found": cooccurrence.p2_found,
     "p2_updated": cooccurrence.p2_updated,
+    "p3_found": names.p3_found,
+    "p3_clusters": names.p3_clusters,
     "p4_found": nearcopies.p4_found,
     "p4_classes": nearcopies.p4_classes,
     "p5_found": boilerplate.p5_found,
