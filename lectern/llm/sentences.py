@@ -119,7 +119,7 @@ def learn(articles: DataFrame) -> DataFrame:
     that may close a sentence, number a word that follows ordinal numbers, start a sentence starter.
     """
     counts = articles.mapInPandas(_count, "lang string, kind string, type string, n long")
-    by_type = counts.groupBy("lang", "type").pivot("kind", ["w", "u", "l", "c", "e", "f", "a", "s"]).agg(F.sum("n")).fillna(0)
+    by_type = staged(counts.groupBy("lang", "type").pivot("kind", ["w", "u", "l", "c", "e", "f", "a", "s"]).agg(F.sum("n")).fillna(0), "type-counts")
     wide = staged(by_type.where((F.col("w") >= MIN_SEEN) | (F.col("a") >= MIN_SEEN) | (F.col("s") >= MIN_SEEN)), "period-types")
     totals = staged(by_type.groupBy("lang").agg(F.sum("w").alias("all_w"), F.sum("u").alias("all_u"), F.sum("e").alias("all_e"), F.sum("a").alias("all_a"), F.sum("s").alias("all_s")), "period-totals")
 
