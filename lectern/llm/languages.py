@@ -225,7 +225,8 @@ def segments(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
                     else:
                         runs.append([no, no, lang, confidence])
                 out += [(doc_id, label_code(label), k, a, b, CODES[lang], c) for k, (a, b, lang, c) in enumerate(runs)]
-            yield pd.DataFrame(out, columns=columns)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string"))
     return rows.mapInPandas(over, "doc_id long, label string, segment int, first_line int, last_line int, lang string, confidence double")

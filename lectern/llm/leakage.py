@@ -174,7 +174,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             index = PassageIndex(passages)
             for pdf in batches:
                 found = [(d, item, a, b) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) for k, a, b in index.found(t) for item in ids[k]]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "first_word", "last_word"])
+                if found:
+                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "first_word", "last_word"])
 
         return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(over, schema)
 

@@ -102,7 +102,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     c["s", t] += 1
         if sum(map(len, counts.values())) > 400_000:
             yield flush()
-    yield flush()
+    if counts:
+        yield flush()
 
 
 def ratio(k: float, n: float, p0: float, p1: float) -> float:
@@ -147,7 +148,8 @@ def learn(articles: DataFrame) -> DataFrame:
                     out.append((r.lang, "number", r.type))
                 if r.s >= MIN_SEEN and ratio(r.s, max(seen, r.s), (r.all_s + 1) / all_words, r.s / max(seen, r.s)) >= SIGNIFICANT and r.s >= 0.3 * seen:
                     out.append((r.lang, "start", r.type))
-            yield pd.DataFrame(out, columns=["lang", "kind", "type"])
+            if out:
+                yield pd.DataFrame(out, columns=["lang", "kind", "type"])
 
     return wide.join(totals, "lang").mapInPandas(decide, "lang string, kind string, type string")
 
@@ -269,7 +271,8 @@ def units(articles: DataFrame, model: DataFrame) -> DataFrame:
                         ids += [key] * len(found)
                         numbers += [no] * len(found)
                         texts += found
-            yield pd.DataFrame({"id": ids, "line_no": numbers, "sentence": texts}).astype({"id": "int64", "line_no": "int32"})
+            if texts:
+                yield pd.DataFrame({"id": ids, "line_no": numbers, "sentence": texts}).astype({"id": "int64", "line_no": "int32"})
 
     return articles.mapInPandas(over, "id long, line_no int, sentence string")
 
