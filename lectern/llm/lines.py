@@ -6,6 +6,8 @@ but their articles still count for their site. Lines of any length are read whol
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,13 @@ def stripped(line: Column) -> Column:
 
 def alike(line: Column) -> Column:
     """The form in which two lines count as the same: collapsed white space, lower case, one mark for every run of digits."""
-    return F.lower(F.regexp_replace(F.regexp_replace(stripped(line), r"(?U)\s+", " "), r"(?U)\d+", "0"))
+    spaced = F.regexp_replace(F.translate(stripped(line), BLANKS, " " * len(BLANKS)), " {2,}", " ")
+    return F.lower(F.regexp_replace(spaced, r"[0-9]+|\p{Nd}+", "0"))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def bare_domain(domain: Column) -> Column:
