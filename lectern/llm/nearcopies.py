@@ -6,8 +6,8 @@ ones, so a set is entered for its own band and the next). The universe of a band
 runs that leaves 32 to 64 of them to a set, cut into ``SEGMENTS`` segments by hash. A set's signatures are the
 subsets that fall into a segment and all subsets with one run deleted; similar sets agree on many segments up to one
 deletion on either side. Signatures are allocated by cost, which is the number of sets that hold them: cheap ones
-are used as they are, dear ones are merged with the next dear one of the same set, round by round, until they are
-cheap. Candidates are verified exactly on the whole sets.
+are used as they are, of dear ones every two of a set are used as one, and sets that share it count the dearer ones they
+share. No signature is left out for its cost. Candidates are verified exactly on the whole sets.
 
 The literal guarantee of the pigeonhole at similarity one half needs a segment for every third run of a set,
 thousands of signatures a text; on the band's universe it holds with a probability, which grows with the
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.boilerplate import stories
 from lectern.llm.components import components
+from lectern.llm.cooccurrence import CELL, basket_pairs
 from lectern.runtime import load, staged
 
 RUN = 8
@@ -38,13 +39,13 @@ SIMILARITY = 0.5
 SEGMENTS = 16
 TINY = 32
 #: A signature held by more sets is dear. It bounds the pairs that one signature gives.
-DEAR = 10
-#: Segments on which the candidates agree at least, unless one set is tiny: similar sets agree on about half of them.
-AGREE = 3
+DEAR = 24
+#: Segments on which candidates agree at least by cheap signatures, unless one set is tiny: similar sets agree on about half of them.
+AGREE = 2
+#: Segments on which candidates agree at least by dear signatures alone, which texts with common passages share too.
+DEAR_AGREE = 5
 #: Segments with more runs have no deletion neighbours: these would cost as many signatures and seldom meet.
 DELETIONS = 4
-#: Rounds of merging dear signatures; each halves their number, and a set has fewer than 2 ** ROUNDS.
-ROUNDS = 6
 #: Members of a class of equal texts up to which its pairs are listed one by one; larger ones link to their first.
 LISTED = 100
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -85,7 +86,8 @@ def run_hashes(codes: np.ndarray) -> np.ndarray:
 
 SALTS = [mixed((np.arange(SEGMENTS, dtype=np.uint64) + np.uint64(band * SEGMENTS)) * A) for band in range(64)]
 #: The low bits of a signature name its segment, so that a pair's agreements can be counted by segment.
-PLACE = np.uint64(2 * SEGMENTS - 1)
+PLACES = 2 * SEGMENTS - 1
+PLACE = np.uint64(PLACES)
 
 
 def band_signatures(runs: np.ndarray, band: int) -> np.ndarray:
@@ -129,40 +131,68 @@ def sketches(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return told.mapInPandas(_sketched, "id long, size int, same long, text string, sigs array<long>")
 
 
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(sig, item, rest): two dear signatures of a set as one, with those dearer than both, if these have places enough for ``DEAR_AGREE``."""
+    for pdf in batches:
+        out = []
+        for key, sigs in zip(pdf["id"].tolist(), pdf["sigs"]):
+            sigs = np.asarray(sigs, dtype=np.int64)
+            places, short = (sigs & PLACES).tolist(), (sigs & 0x7FFFFFFF).tolist()
+            sigs = sigs.view(np.uint64)
+            for j in range(1, len(places)):
+                after = [(p, x) for p, x in zip(places[j + 1 :], short[j + 1 :]) if p != places[j]]
+                if len({p for p, _ in after}) < DEAR_AGREE - 2:
+                    break
+                both = mixed(mixed(sigs[:j]) + sigs[j]).view(np.int64).tolist()
+                for i in range(j):
+                    rest = [x for p, x in after if p != places[i]]
+                    if places[i] != places[j] and len({x & PLACES for x in rest}) >= DEAR_AGREE - 2:
+                        out.append((both[i], key, rest))
+        if out:
+            yield pd.DataFrame(out, columns=["sig", "item", "rest"])
+
+
+def dear_pairs(dear: DataFrame) -> DataFrame:
+    """(a, b) with a < b: the sets of (id, sig, cost) that agree on ``DEAR_AGREE`` dear segments or more, however many sets hold these.
+
+    Of the dear signatures that two such sets share, the two cheapest of different segments meet as one, and the dearer ones are
+    counted on the spot. A signature held by many sets is joined in cells of at most two blocks of ``CELL`` sets.
+    """
+    own = dear.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("cost", "sig"))), lambda x: x["sig"]).alias("sigs"))
+    made = staged(own.where(F.size("sigs") >= DEAR_AGREE).mapInPandas(_combined, "sig long, item long, rest array<int>"), "dear-signatures")
+    count = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
+    sizes = made.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    placed = made.join(sizes, "sig").select("sig", F.struct("item", "rest").alias("who"), count.alias("blocks"), F.pmod(F.xxhash64("item"), count).cast("int").alias("block"))
+    lows = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    cells = placed.select("sig", "who", "block", F.explode(lows).alias("c")).groupBy("sig", "c").agg(
+        F.collect_list(F.when(F.col("block") == F.col("c.x"), F.col("who"))).alias("left"),
+        F.collect_list(F.when(F.col("block") == F.col("c.y"), F.col("who"))).alias("right"),
+    )
+    agree = lambda i, j: F.size(F.array_distinct(F.transform(F.array_intersect(i["rest"], j["rest"]), lambda x: x.bitwiseAND(F.lit(PLACES))))) >= F.lit(DEAR_AGREE - 2)
+    other = lambda i, j: F.when(F.col("c.x") == F.col("c.y"), j["item"] > i["item"]).otherwise(F.lit(True))
+    pair = lambda i: F.transform(F.filter("right", lambda j: other(i, j) & agree(i, j)), lambda j: F.struct(F.least(i["item"], j["item"]).alias("a"), F.greatest(i["item"], j["item"]).alias("b")))
+    return cells.select(F.explode(F.flatten(F.transform("left", pair))).alias("p")).select("p.a", "p.b").distinct()
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b, n) with a < b: pairs of sets (id, size, sigs) that agree on n segments by cheap signatures and may be similar by their sizes."""
-    postings = sets.select("id", F.explode("sigs").alias("sig"))
-    found, place = None, F.col("sig").bitwiseAND(F.lit(2 * SEGMENTS - 1)).alias("place")
-    for k in range(ROUNDS + 1):
-        # The cost of a signature, without gathering its sets: dear ones never form a list.
-        cost = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("cost")).where(F.col("cost") > 1)
-        held = postings.join(cost, "sig")
-        cheap = held.where(F.col("cost") <= DEAR).groupBy("sig").agg(F.sort_array(F.collect_list("id")).alias("who"))
-        near = lambda x: F.transform(F.filter("who", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
-        pairs = cheap.select("sig", F.explode(F.flatten(F.transform("who", near))).alias("p")).select("p.a", "p.b", place)
-        found = pairs if found is None else found.unionByName(pairs)
-        dear = staged(held.where(F.col("cost") > DEAR).select("id", "sig"), "dear-signatures")
-        if dear.isEmpty():
-            break
-        if k == ROUNDS:
-            # Sets that agree on everything dear: each is a candidate with the first of them, whatever else they share.
-            first = dear.groupBy("sig").agg(F.min("id").alias("a"))
-            stars = dear.join(first, "sig").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(AGREE - 1).cast("long"))).alias("place"))
-            found = found.unionByName(stars)
-            break
-        # A set's dear signatures, at most its signatures, in the order of their values: neighbours merge.
-        own = dear.groupBy("id").agg(F.sort_array(F.collect_set("sig")).alias("s"))
-        merged = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / 2).cast("int")), lambda i: F.xxhash64(F.get("s", 2 * i), F.get("s", 2 * i + 1)).bitwiseAND(F.lit(-2 * SEGMENTS)).bitwiseOR(F.get("s", 2 * i).bitwiseAND(F.lit(2 * SEGMENTS - 1))))
-        postings = own.select("id", F.explode(merged).alias("sig"))
-    agreed = found.groupBy("a", "b").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(place as int))"))).alias("n"))
-    # Tiny sets agree on few segments; only they pass with fewer, so the sizes are joined to what little is left.
-    few = agreed.where(F.col("n") >= AGREE).select("a", "b", "n")
-    tiny = sets.where(F.col("size") < 2 * TINY).select("id")
-    some = agreed.where(F.col("n") < AGREE).join(tiny.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b", "n")
-    both = few.unionByName(some)
+    """(a, b) with a < b: pairs of sets (id, size, sigs) that agree on enough segments and may be similar by their sizes."""
+    postings = sets.select("id", "size", F.explode("sigs").alias("sig"))
+    # The cost of a signature, without gathering its sets: dear ones never form one list.
+    cost = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("cost")).where(F.col("cost") > 1)
+    held = staged(postings.join(cost, "sig").select("id", "sig", "cost", (F.col("size") < 4 * TINY).alias("small")), "held-signatures")
+    cheap = held.where(F.col("cost") <= DEAR).groupBy("sig").agg(F.sort_array(F.collect_list("id")).alias("who"))
+    near = lambda x: F.transform(F.filter("who", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    place = F.col("sig").bitwiseAND(F.lit(PLACES)).alias("place")
+    pairs = cheap.select("sig", F.explode(F.flatten(F.transform("who", near))).alias("p")).select("p.a", "p.b", place)
+    agreed = pairs.groupBy("a", "b").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(place as int))"))).alias("n")).where(F.col("n") >= AGREE)
+    found = agreed.select("a", "b").unionByName(dear_pairs(held.where(F.col("cost") > DEAR)))
+    # Tiny sets agree on few segments: with one on either side a single signature is enough. Its partner has less than twice its runs.
+    small = held.where("small").select(F.col("sig").alias("basket"), F.col("id").alias("item"))
+    counts = small.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    either = basket_pairs(small.join(counts, "basket")).select("a", "b")
     sizes = sets.select("id", "size")
-    sized = both.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b")
-    return sized.where((F.least("sa", "sb") >= F.lit(SIMILARITY) * F.greatest("sa", "sb"))).select("a", "b", "n").distinct()
+    sized = lambda rows: rows.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(F.least("sa", "sb") >= F.lit(SIMILARITY) * F.greatest("sa", "sb"))
+    return sized(found).select("a", "b").unionByName(sized(either).where(F.least("sa", "sb") < 2 * TINY).select("a", "b")).distinct()
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -97,3 +97,28 @@ def test_near_copies(spark, monkeypatch):
     assert got <= want and len(got) >= 0.9 * len(want) and want
     assert rep[65] == rep[66] == rep[0] == 0 and 67 not in rep
     assert nearcopies.links(sketch.limit(0))[1].count() == 0
+
+
+def sketched(spark, texts):
+    import pandas as pd
+
+    pdf = next(nearcopies._sketched(iter([pd.DataFrame({"id": range(len(texts)), "title": "", "body": texts})])))
+    rows = [(int(r.id), int(r.size_), int(r.same), r.text, r.sigs.tolist()) for r in pdf.rename(columns={"size": "size_"}).itertuples()]
+    return spark.createDataFrame(rows, "id long, size int, same long, text string, sigs array<long>")
+
+
+def test_groups_of_near_copies(spark):
+    """Every pair of a group of near copies is found, whatever the size of the group."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvz") for _ in range(rnd.randrange(3, 9)))
+    texts, group = [], {}
+    for k, n in enumerate((12, 40, 200)):
+        base = [word() for _ in range(250)]
+        for at in range(n):
+            copy = list(base)
+            copy[at] = word() + "q"
+            group[len(texts)] = k
+            texts.append(" ".join(copy))
+    _, pairs = nearcopies.links(sketched(spark, texts))
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(group, 2) if group[a] == group[b]}
