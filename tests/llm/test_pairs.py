@@ -122,3 +122,26 @@ def test_groups_of_near_copies(spark):
     _, pairs = nearcopies.links(sketched(spark, texts))
     got = {(r.a, r.b) for r in pairs.collect()}
     assert got == {(a, b) for a, b in itertools.combinations(group, 2) if group[a] == group[b]}
+
+
+def test_every_segment_has_deletion_neighbours():
+    kept = [(k << 40) | (k << 20) for k in [3] * 7 + [5] * 2 + [6]]  # segments of seven, two and one runs
+    kept = nearcopies.np.array([x | i << 10 for i, x in enumerate(kept)], dtype="uint64")
+    found = nearcopies.band_signatures(kept, 5)
+    assert len(set(found.tolist())) == 1 + 7 + 1
+
+
+def test_tiny_texts_on_both_sides(spark):
+    """Whether a tiny text and a longer one are found does not depend on the order of their ids."""
+    rnd = random.Random(11)
+    texts, want = [], set()
+    for k in range(60):
+        long = "".join(rnd.choice("abcdefghijklmnoprstuvz") for _ in range(82))
+        tiny = long[:52] + rnd.choice("wxy") + long[53:60]
+        for pair in ((tiny, long), (long + "q", tiny + "q")):
+            texts += [f"{k} {t}" for t in pair]
+            want.add((len(texts) - 2, len(texts) - 1))
+    _, pairs = nearcopies.links(sketched(spark, texts))
+    got = {(r.a, r.b) for r in pairs.collect()}
+    first, second = ({p[0] // 4 for p in got & want if p[0] % 4 == r} for r in (0, 2))
+    assert len(first) >= 50 and len(second) >= 50
