@@ -145,3 +145,15 @@ def test_tiny_texts_on_both_sides(spark):
     got = {(r.a, r.b) for r in pairs.collect()}
     first, second = ({p[0] // 4 for p in got & want if p[0] % 4 == r} for r in (0, 2))
     assert len(first) >= 50 and len(second) >= 50
+
+
+def test_names_meet_by_common_tokens(spark):
+    """A token that is far more common than the rarest one of a spelling gives a block too, and so does one next to an edited initial."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(4)).title()
+    crowd = [f"{word()} Gonzalez {word()}" for _ in range(60)] + [f"Francisco {word()} {word()}" for _ in range(60)]
+    texts = ["Francisco Gonzalez", "Francisco Gonzalez Xurxo", "Maria Pelotari", "Xaria Pelotari"]
+    found, clusters = names.variants(spark.createDataFrame([(i, t, "PERSON") for i, t in enumerate(texts + crowd)], "id long, text string, type string"))
+    label = {r.text: r.c for r in found.join(clusters, found.key == clusters.v).collect()}
+    assert label.get(texts[0], 0) == label.get(texts[1], 1)
+    assert label.get(texts[2], 0) == label.get(texts[3], 1)
