@@ -157,3 +157,14 @@ def test_names_meet_by_common_tokens(spark):
     label = {r.text: r.c for r in found.join(clusters, found.key == clusters.v).collect()}
     assert label.get(texts[0], 0) == label.get(texts[1], 1)
     assert label.get(texts[2], 0) == label.get(texts[3], 1)
+
+
+def test_a_torn_spelling_keeps_its_sure_variants(spark):
+    """A spelling between two full names loses its pairs with these only, and one name with a typing error is not two."""
+    sure, full = ["Maria Pelotari", "PELOTARI, Maria", "María Pelotari"], ["Maria Pelotari Diaz", "Maria Pelotari Ruiz"]
+    typed = ["Teresa Munasabre", "Teresa Munasabre Gonzalez", "Teresa Munasabre Gomzalez"]
+    found, clusters = names.variants(spark.createDataFrame([(i, t, "PERSON") for i, t in enumerate(sure + full + typed)], "id long, text string, type string"))
+    label = {r.text: r.c for r in found.join(clusters, found.key == clusters.v).collect()}
+    assert len({label.get(t, t) for t in sure}) == 1 and sure[0] in label
+    assert len({label.get(t, t) for t in sure[:1] + full}) == 3
+    assert len({label.get(t, t) for t in typed}) == 1
