@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import cosine
+from lectern.functions.vectors import dot, norm
 
 WEIGHTS = {"entity": 0.45, "freshness": 0.25, "quality": 0.15, "diversity": 0.10, "authority": 0.05}
 HALF_LIVES = {"breaking": 6.0, "timely": 12.0, "evergreen": 48.0}
@@ -78,13 +78,24 @@ def entity_importance(top: DataFrame) -> DataFrame:
     return agg.select("article_id", F.least(F.col("mean") * F.when(F.col("peak") > 0.8, 1.3).otherwise(1.0), F.lit(1.0)).alias("importance"))
 
 
+#: Items and peers of one block pair: bounds what one row holds and spreads the comparisons over tasks.
+BLOCK = 256
+
+
 def topic_diversity(items: DataFrame, since: Column) -> DataFrame:
     """(id, diversity) of (id, embedding, created_at): 1 minus the largest cosine to another item created since ``since``.
 
-    No vector gives 0.5, no peers 1, and a cosine under 0.3 counts as none. The peers are one window of time.
+    No vector gives 0.5, no peers 1, and a cosine under 0.3 counts as none. Items meet the peers block by block.
     """
-    window = items.where(F.col("embedding").isNotNull() & (F.col("created_at") >= since)).select(F.col("id").alias("peer"), F.col("embedding").alias("v"))
-    near = items.where(F.col("embedding").isNotNull()).join(window, F.col("id") != F.col("peer")).groupBy("id").agg(F.max(cosine(F.col("embedding"), F.col("v"))).alias("near"))
+    held = items.where(F.col("embedding").isNotNull()).withColumn("length", norm(F.col("embedding")))
+    recent = held.where(F.col("created_at") >= since)
+    count = recent.agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    block = lambda rows: rows.join(F.broadcast(count)).where(F.col("blocks") > 0)  # noqa: E731 - one row
+    peers = block(recent).select(F.struct(F.col("id").alias("id"), F.col("embedding").alias("v"), F.col("length").alias("length")).alias("p"), F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    peers = peers.groupBy("block").agg(F.collect_list("p").alias("peers"))
+    own = block(held).select("id", "embedding", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    others = F.filter("peers", lambda p: p["id"] != F.col("id"))
+    near = own.join(peers, "block").select("id", F.array_max(F.transform(others, lambda p: dot(F.col("embedding"), p["v"]) / F.nullif(F.col("length") * p["length"], F.lit(0.0)))).alias("near")).groupBy("id").agg(F.max("near").alias("near"))
     rows = items.select("id", F.col("embedding").isNull().alias("none")).join(near, "id", "left")
     return rows.select("id", F.when(F.col("none"), 0.5).when(F.col("near").isNull() | (F.col("near") < 0.3), 1.0).otherwise(1.0 - F.col("near")).alias("diversity"))
 

@@ -260,10 +260,10 @@ def cluster_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def topic_diversity(s: SparkSession, d: str) -> DataFrame:
-    """The items of the last day against each other; ``created_at`` is a minute apart for each id."""
+    """Every item against the other items of the last 24 hours; ``created_at`` is a minute apart for each id."""
     v = load(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.timestamp_seconds(F.unix_seconds(F.lit(AS_OF).cast("timestamp")) - F.col("vec_id") * 60).alias("created_at"))
-    since = F.timestamp_seconds(F.unix_seconds(F.lit(AS_OF).cast("timestamp")) - F.lit(6 * 3600))
-    return scoring.topic_diversity(v.where(F.col("created_at") >= since), since).select("id", r6("diversity").alias("diversity"))
+    since = F.timestamp_seconds(F.unix_seconds(F.lit(AS_OF).cast("timestamp")) - F.lit(24 * 3600))
+    return scoring.topic_diversity(v, since).select("id", r6("diversity").alias("diversity"))
 
 
 def _memberships(s: SparkSession, d: str) -> DataFrame:

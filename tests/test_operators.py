@@ -86,3 +86,23 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("hourly").collect())) == [("2024-01-01 00:00", "a", 2), ("2024-01-01 09:00", "b", 1)]
+
+
+def data_dir(spark, tmp_path, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_topic_diversity_of_every_item(spark, tmp_path, monkeypatch):
+    from lectern.operators import scoring
+    from lectern.plans import queries
+
+    monkeypatch.setattr(scoring, "BLOCK", 7)
+    rnd = random.Random(3)
+    vectors = {i: [rnd.random() - 0.4 for _ in range(4)] for i in (*range(0, 1500, 41), 359, 361, 1439, 1440, 1441, 1999)}
+    d = data_dir(spark, tmp_path, embeddings=(list(vectors.items()), "vec_id long, embedding array<float>"))
+    got = {r.id: r.diversity for r in queries.topic_diversity(spark, d).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    near = {i: max(cos(v, w) for j, w in vectors.items() if j != i and j <= 1440) for i, v in vectors.items()}
+    assert got == pytest.approx({i: 1.0 if n < 0.3 else 1 - n for i, n in near.items()}, abs=1e-5)
