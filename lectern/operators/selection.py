@@ -27,3 +27,32 @@ def digest(items: DataFrame, min_count: int = 1, max_count: int = 5, low: float
     chosen = (F.col("g") == 0) | ((F.col("g") == 1) & (F.col("rn") <= normal)) | ((F.col("g") == 2) & (F.col("rn") <= F.greatest(F.lit(0), F.lit(min_count) - F.col("nc") - normal)))
     out = ranked.join(F.broadcast(sizes)).where(chosen)  # one row
     return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id"))).select("id", "source", "score", "place")
+
+
+def training_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, label) of articles (id, cat, sub): 0.95 in the subcategory, 0.7 in another one of the category, 0 in another category, 1 with itself.
+
+    Partners follow in the order of a hash of the id, wrapping round at the end: the next article of the subcategory, and for the
+    wider tiers one of the next group, by the article's number. Articles of subcategories with fewer than two articles have no
+    pairs of their own, but serve as partners.
+    """
+    by = lambda *keys: Window.partitionBy(*keys).orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
+    size = F.count(F.lit(1)).over(Window.partitionBy("cat", "sub"))
+    placed = rows.select("id", "cat", "sub", (F.row_number().over(by("cat", "sub")) - 1).alias("n"), size.alias("size"))
+    # The groups are few: subcategories by category, and categories, each with the next one of its kind.
+    wrapped = lambda name, within: F.coalesce(F.lead(name).over(within.orderBy(name)), F.min(name).over(within))
+    subs = placed.groupBy("cat", "sub").agg(F.count(F.lit(1)).alias("size"))
+    cats = placed.groupBy("cat").agg(F.count(F.lit(1)).alias("other_size"))
+    beside = subs.select("cat", "sub", wrapped("sub", Window.partitionBy("cat")).alias("other")).where(F.col("sub") != F.col("other"))
+    beside = beside.join(subs.select("cat", F.col("sub").alias("other"), F.col("size").alias("other_size")), ["cat", "other"])
+    apart = cats.select("cat", wrapped("cat", Window.partitionBy(F.lit(0))).alias("other")).where(F.col("cat") != F.col("other"))
+    apart = apart.join(cats.withColumnRenamed("cat", "other"), "other")
+    from_sub = placed.select("cat", F.col("sub").alias("other"), F.col("n").alias("at"), F.col("id").alias("b"))
+    from_cat = rows.select(F.col("cat").alias("other"), (F.row_number().over(by("cat")) - 1).alias("at"), F.col("id").alias("b"))
+    own = placed.where(F.col("size") >= 2)
+    labelled = lambda pairs, label: pairs.select(F.col("id").alias("a"), "b", F.lit(label).alias("label"))
+    strong = own.withColumn("at", (F.col("n") + 1) % F.col("size")).withColumnRenamed("sub", "other").join(from_sub, ["cat", "other", "at"])
+    medium = own.join(beside, ["cat", "sub"]).withColumn("at", F.col("n") % F.col("other_size")).join(from_sub, ["cat", "other", "at"])
+    none = own.join(apart, "cat").withColumn("at", F.col("n") % F.col("other_size")).join(from_cat, ["other", "at"])
+    itself = own.withColumn("b", F.col("id"))
+    return labelled(strong, 0.95).unionByName(labelled(medium, 0.7)).unionByName(labelled(none, 0.0)).unionByName(labelled(itself, 1.0))

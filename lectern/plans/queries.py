@@ -201,12 +201,10 @@ def category_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def training_pairs(s: SparkSession, d: str) -> DataFrame:
-    """(a, b, label): each titled article with the next one of its category by a hash of the id, and with its own body."""
+    """(a, b, label): each titled article with one of its subcategory, of another subcategory of its category, of another category, and with its own body."""
+    c = T.split_category(F.col("category"))
     rows = V.articles(s, d, "title", "category").where((F.coalesce("title", F.lit("")) != "") & F.col("category").isNotNull())
-    top = T.split_category(F.col("category"))["category"]
-    order = Window.partitionBy("cat").orderBy(F.sha2(F.col("id").cast("string"), 256))
-    ordered = rows.select("id", top.alias("cat")).withColumn("b", F.lead("id").over(order)).where(F.col("b").isNotNull())
-    return ordered.select(F.col("id").alias("a"), "b", F.lit(0.7).alias("label")).unionByName(rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("label")))
+    return selection.training_pairs(rows.select("id", c["category"].alias("cat"), F.coalesce(c["subcategory"], F.lit("-")).alias("sub")))
 
 
 def local_relevance(s: SparkSession, d: str) -> DataFrame:

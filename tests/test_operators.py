@@ -106,3 +106,19 @@ def test_topic_diversity_of_every_item(spark, tmp_path, monkeypatch):
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     near = {i: max(cos(v, w) for j, w in vectors.items() if j != i and j <= 1440) for i, v in vectors.items()}
     assert got == pytest.approx({i: 1.0 if n < 0.3 else 1 - n for i, n in near.items()}, abs=1e-5)
+
+
+def test_training_pairs_have_four_tiers(spark, tmp_path):
+    from lectern.plans import queries
+
+    kinds = {i: c for i, c in enumerate(["A/x"] * 5 + ["A/y"] * 3 + ["A/z"] + ["B/x"] * 4 + ["C"] * 2)}
+    schema = "id long, created_at timestamp_ntz, title string, category string"
+    d = data_dir(spark, tmp_path, articles=([(i, None, f"t{i}", c) for i, c in kinds.items()] + [(90, None, "", "A/x"), (91, None, "t", None)], schema))
+    tiers = {}
+    for r in queries.training_pairs(spark, d).collect():
+        assert tiers.setdefault(r.label, {}).setdefault(r.a, r.b) == r.b
+    alone, top = {8}, {i: c.split("/")[0] for i, c in kinds.items()}
+    assert all(a != b and kinds[a] == kinds[b] for a, b in tiers[0.95].items()) and set(tiers[0.95]) == set(kinds) - alone
+    assert all(top[a] == top[b] and kinds[a] != kinds[b] for a, b in tiers[0.7].items()) and set(tiers[0.7]) == set(range(8))
+    assert all(top[a] != top[b] for a, b in tiers[0.0].items()) and set(tiers[0.0]) == set(kinds) - alone
+    assert tiers[1.0] == {i: i for i in set(kinds) - alone}
