@@ -173,12 +173,11 @@ def lsh_best(s: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_eval(s: SparkSession, d: str) -> DataFrame:
-    """The candidates against the pairs whose names share their last word."""
+    """The candidates against all pairs of canonical entities of a type whose names share their last word, found by the bands or not."""
     sig = _signed(s, d)
-    last = V.entities(s, d).select("id", F.element_at(F.split("name", " "), -1).alias("w"))
-    pairs = similarity.scored(sig)
-    true = pairs.join(last.toDF("a", "wa"), "a").join(last.toDF("b", "wb"), "b").where(F.col("wa") == F.col("wb"))
-    e = similarity.evaluation(pairs, true, [0.1, 0.3, 0.5, 0.7, 0.9])
+    last = V.entities(s, d).where(F.col("classified_as") == "canonical").select("id", F.col("entity_type").alias("type"), F.element_at(F.split("name", " "), -1).alias("w"))
+    true = last.withColumnRenamed("id", "a").join(last.withColumnRenamed("id", "b"), ["type", "w"]).where(F.col("a") < F.col("b")).select("a", "b")
+    e = similarity.evaluation(similarity.scored(sig), true, [0.1, 0.3, 0.5, 0.7, 0.9])
     return e.select("threshold", "tp", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 

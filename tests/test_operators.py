@@ -122,3 +122,14 @@ def test_training_pairs_have_four_tiers(spark, tmp_path):
     assert all(top[a] == top[b] and kinds[a] != kinds[b] for a, b in tiers[0.7].items()) and set(tiers[0.7]) == set(range(8))
     assert all(top[a] != top[b] for a, b in tiers[0.0].items()) and set(tiers[0.0]) == set(kinds) - alone
     assert tiers[1.0] == {i: i for i in set(kinds) - alone}
+
+
+def test_lsh_evaluation_counts_pairs_the_bands_miss(spark, tmp_path):
+    from lectern.plans import queries
+
+    names = ["Bo Lee", "Maximiliana Wolkenstein Lee", "Other Name", "Bo Lea"]
+    rows = [(i, n, "PERSON", "canonical") for i, n in enumerate(names)] + [(9, "Third Lee", "ORG", "canonical"), (10, "Fourth Lee", "PERSON", "alias")]
+    d = data_dir(spark, tmp_path, named_entities=(rows, "id long, name string, entity_type string, classified_as string"))
+    assert (0, 1) not in {(r.a, r.b) for r in queries.lsh_candidates(spark, d).collect()}
+    for r in queries.lsh_eval(spark, d).collect():
+        assert r.tp + r.fn == 1 and r.fn == 1 and r.recall == 0
