@@ -2,17 +2,19 @@
 
 Method: universe-partition pigeonhole. A text is the set of its runs of eight characters. Sets fall into size
 bands (powers of two; sets with a Jaccard similarity of at least one half lie in one band or in neighbouring
-ones, so a set is entered for its own band and the next). The universe of a band is a hash-chosen part of all
-runs that leaves 32 to 64 of them to a set, cut into ``SEGMENTS`` segments by hash. A set's signatures are the
-subsets that fall into a segment and all subsets with one run deleted; similar sets agree on many segments up to one
-deletion on either side. Signatures are allocated by cost, which is the number of sets that hold them: cheap ones
-are used as they are, of dear ones every two of a set are used as one, and sets that share it count the dearer ones they
-share. No signature is left out for its cost. Candidates are verified exactly on the whole sets.
+ones, so a set is entered for its own band and as a guest for the next; two guests meet in their own band). The
+universe of a band is a hash-chosen part of all runs that leaves 32 to 64 of them to a set of the band, cut into
+``SEGMENTS`` segments by hash. A set's signatures are the subsets that fall into a segment and all subsets with one
+run deleted; one common signature makes two sets candidates. Signatures are allocated by cost, the number of
+sets that hold them: those of one set are dropped, and those of more than ``CELL`` sets are cut into cells of at
+most two blocks, however many sets hold them, so families of any size are found whole. Within a cell a sketch of 256
+bits throws out pairs that are far from similar before any pair is written. Candidates are verified exactly on the
+whole sets, cell by cell, so a text travels once for a block of partners and not once for each.
 
 The literal guarantee of the pigeonhole at similarity one half needs a segment for every third run of a set,
-thousands of signatures a text; on the band's universe it holds with a probability, which grows with the
-similarity (measured in the README). Equal sets are one class from the start. Sets of fewer than ``TINY`` runs use
-every run as a signature, which loses nothing.
+hundreds of signatures a text; on the band's universe it holds with a probability, which grows with the
+similarity (measured in the README). Sets of fewer than ``TINY`` runs take every run for a segment and, of these, the
+cheapest that the bound leaves (more than half), which loses nothing. Equal sets are one class from the start.
 
 Texts without content are no case; a text of fewer than eight characters has no runs and is in no pair.
 Null titles count as empty. Texts are read whole.
@@ -31,19 +33,20 @@ from pyspark.sql import functions as F
 
 from lectern.llm.boilerplate import stories
 from lectern.llm.components import components
-from lectern.llm.cooccurrence import CELL, basket_pairs
 from lectern.runtime import load, staged
 
 RUN = 8
 SIMILARITY = 0.5
-SEGMENTS = 16
+SEGMENTS = 10
+#: Runs that a signature holds at least; fewer say too little.
+HELD = 3
 TINY = 32
-#: A signature held by more sets is dear. It bounds the pairs that one signature gives.
-DEAR = 24
-#: Segments on which candidates agree at least by cheap signatures, unless one set is tiny: similar sets agree on about half of them.
-AGREE = 2
-#: Segments on which candidates agree at least by dear signatures alone, which texts with common passages share too.
-DEAR_AGREE = 5
+#: Sets of one block: a cell has at most two of them, which bounds the rows and texts a task holds at once.
+CELL = 64
+#: 64-bit words of a sketch, the runs it is made of at least, and the similarity of sketches from which a pair is verified.
+WORDS = 4
+SKETCHED = 64
+CLOSE = 0.4
 #: Members of a class of equal texts up to which its pairs are listed one by one; larger ones link to their first.
 LISTED = 100
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -83,139 +86,172 @@ def run_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 SALTS = [mixed((np.arange(SEGMENTS, dtype=np.uint64) + np.uint64(band * SEGMENTS)) * A) for band in range(64)]
-#: The low bits of a signature name its segment, so that a pair's agreements can be counted by segment.
-PLACES = 2 * SEGMENTS - 1
-PLACE = np.uint64(PLACES)
+
+
+def universe(runs: np.ndarray, band: int, least: int) -> np.ndarray:
+    """The runs of a set in the part of the universe that leaves ``least`` or more of them to a set of the band."""
+    return runs[(runs & np.uint64((1 << max(0, band - least.bit_length() + 1)) - 1)) == 0]
 
 
 def band_signatures(runs: np.ndarray, band: int) -> np.ndarray:
     """The signatures of a set in one band: its segments' subsets and their one-deletion neighbours."""
-    if band < TINY.bit_length() - 1:
-        return mixed(runs + np.uint64(max(0, band)))
-    kept = runs[(runs & np.uint64((1 << max(0, band - 5)) - 1)) == 0]
+    kept = universe(runs, band, TINY)
     segment = (kept >> np.uint64(40)).astype(np.int64) % SEGMENTS
-    sums, counts, salt = np.zeros(SEGMENTS, dtype=np.uint64), np.bincount(segment, minlength=SEGMENTS), SALTS[band]
+    sums, counts = np.zeros(SEGMENTS, dtype=np.uint64), np.bincount(segment, minlength=SEGMENTS)
     np.add.at(sums, segment, kept)
-    sums += salt
-    names = np.arange(SEGMENTS)[counts >= 2]
-    often = counts[segment] >= 3
-    segments = np.concatenate([names, segment[often]])
-    found = mixed(np.concatenate([sums[names], sums[segment[often]] - kept[often]]))
-    return (found & ~PLACE) | (segments.astype(np.uint64) + np.uint64(SEGMENTS * (band & 1)))
+    sums += SALTS[band]
+    often = counts[segment] > HELD
+    return mixed(np.concatenate([sums[counts >= HELD], sums[segment[often]] - kept[often]]))
+
+
+def sketch_bits(runs: np.ndarray, band: int) -> np.ndarray:
+    """A bit for each run of a part of the universe."""
+    at = (universe(runs, band, SKETCHED) >> np.uint64(33)) & np.uint64(64 * WORDS - 1)
+    bits = np.zeros(WORDS, dtype=np.uint64)
+    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return bits
 
 
-def signatures(runs: np.ndarray) -> np.ndarray:
-    own = len(runs).bit_length() - 1
-    return np.concatenate([band_signatures(runs, own), band_signatures(runs, own + 1)])
+def set_row(key: int, title: str | None, body: str, letters: np.ndarray) -> tuple | None:
+    """The row of ``SKETCH`` of one text; None if it has no runs."""
+    codes = comparable(f"{title or ''} {body}", letters)
+    runs = run_hashes(codes)
+    size = len(runs)
+    if not size:
+        return None
+    own = size.bit_length() - 1
+    whole = int(mixed(np.array([runs.sum() + np.uint64(size)], dtype=np.uint64)).view(np.int64)[0])
+    none = np.zeros(0, dtype=np.uint64)
+    home, guest = (none if size < TINY else band_signatures(runs, own)), (none if 2 * size < TINY else band_signatures(runs, own + 1))
+    bits = np.concatenate([sketch_bits(runs, own), sketch_bits(runs, own + 1)])
+    few = mixed(runs + B) if size < 2 * TINY else none
+    return key, size, whole, codes.tobytes().decode("utf-32-le", "surrogatepass"), *(x.view(np.int64) for x in (home, guest, few, bits))
+
+
+#: home and guest: signatures in the own and the next band; few: all runs of a small set; bits: the sketches of both bands.
+SKETCH = "id long, size int, same long, text string, home array<long>, guest array<long>, few array<long>, bits array<long>"
+COLUMNS = [c.split()[0] for c in SKETCH.split(", ")]
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     letters = letter_table()
     for pdf in batches:
-        out = []
-        for key, title, body in zip(pdf["id"].tolist(), pdf["title"].tolist(), pdf["body"].tolist()):
-            codes = comparable(f"{title or ''} {body}", letters)
-            runs = run_hashes(codes)
-            if len(runs):
-                whole = int(mixed(np.array([runs.sum() + np.uint64(len(runs))], dtype=np.uint64)).view(np.int64)[0])
-                out.append((key, len(runs), whole, codes.tobytes().decode("utf-32-le", "surrogatepass"), signatures(runs).view(np.int64)))
-        if out:
-            yield pd.DataFrame(out, columns=["id", "size", "same", "text", "sigs"])
+        rows = [r for r in map(set_row, pdf["id"].tolist(), pdf["title"].tolist(), pdf["body"].tolist(), [letters] * len(pdf)) if r]
+        if rows:
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
 
 def sketches(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, size, same, text, sigs) of every article with content; equal sets have equal ``same``."""
+    """``SKETCH`` of every article with content; equal sets have equal ``same``."""
     told = stories(articles.where(F.trim("content") != ""), sources, ("title",))
-    return told.mapInPandas(_sketched, "id long, size int, same long, text string, sigs array<long>")
-
+    return told.mapInPandas(_sketched, SKETCH)
 
-def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(sig, item, rest): two dear signatures of a set as one, with those dearer than both, if these have places enough for ``DEAR_AGREE``."""
-    for pdf in batches:
-        out = []
-        for key, sigs in zip(pdf["id"].tolist(), pdf["sigs"]):
-            sigs = np.asarray(sigs, dtype=np.int64)
-            places, short = (sigs & PLACES).tolist(), (sigs & 0x7FFFFFFF).tolist()
-            sigs = sigs.view(np.uint64)
-            for j in range(1, len(places)):
-                after = [(p, x) for p, x in zip(places[j + 1 :], short[j + 1 :]) if p != places[j]]
-                if len({p for p, _ in after}) < DEAR_AGREE - 2:
-                    break
-                both = mixed(mixed(sigs[:j]) + sigs[j]).view(np.int64).tolist()
-                for i in range(j):
-                    rest = [x for p, x in after if p != places[i]]
-                    if places[i] != places[j] and len({x & PLACES for x in rest}) >= DEAR_AGREE - 2:
-                        out.append((both[i], key, rest))
-        if out:
-            yield pd.DataFrame(out, columns=["sig", "item", "rest"])
 
+def postings(sets: DataFrame) -> DataFrame:
+    """(sig, id, own, tiny): the signatures of each set; two guests (``own`` false) of one signature are no candidates through it."""
+    marked = lambda c, own: F.transform(c, lambda x: F.struct(x.alias("sig"), F.lit(own).alias("own")))
+    wide = sets.select("id", F.explode(F.concat(marked("home", True), marked("guest", False))).alias("s")).select("s.sig", "id", "s.own", F.lit(False).alias("tiny"))
+    # Each run of a small set is a segment; two similar sets share one among the cheapest of either, if one more is taken than may differ.
+    few = sets.select("id", "size", F.explode("few").alias("sig"))
+    cost = few.groupBy("sig").agg(F.count(F.lit(1)).alias("cost"))
+    by_cost = few.join(cost, "sig").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("cost", "sig"))).alias("runs"))
+    enough = (F.col("size") - F.ceil(F.col("size") * F.lit(SIMILARITY)) + 1).cast("int")
+    small = by_cost.select(F.explode(F.slice("runs", F.lit(1), enough)).alias("r"), "id", "size").select("r.sig", "id", (F.col("size") < TINY).alias("own"), F.lit(True).alias("tiny"))
+    return wide.unionByName(small)
 
-def dear_pairs(dear: DataFrame) -> DataFrame:
-    """(a, b) with a < b: the sets of (id, sig, cost) that agree on ``DEAR_AGREE`` dear segments or more, however many sets hold these.
 
-    Of the dear signatures that two such sets share, the two cheapest of different segments meet as one, and the dearer ones are
-    counted on the spot. A signature held by many sets is joined in cells of at most two blocks of ``CELL`` sets.
-    """
-    own = dear.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("cost", "sig"))), lambda x: x["sig"]).alias("sigs"))
-    made = staged(own.where(F.size("sigs") >= DEAR_AGREE).mapInPandas(_combined, "sig long, item long, rest array<int>"), "dear-signatures")
-    count = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    sizes = made.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    placed = made.join(sizes, "sig").select("sig", F.struct("item", "rest").alias("who"), count.alias("blocks"), F.pmod(F.xxhash64("item"), count).cast("int").alias("block"))
-    lows = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    cells = placed.select("sig", "who", "block", F.explode(lows).alias("c")).groupBy("sig", "c").agg(
-        F.collect_list(F.when(F.col("block") == F.col("c.x"), F.col("who"))).alias("left"),
-        F.collect_list(F.when(F.col("block") == F.col("c.y"), F.col("who"))).alias("right"),
-    )
-    agree = lambda i, j: F.size(F.array_distinct(F.transform(F.array_intersect(i["rest"], j["rest"]), lambda x: x.bitwiseAND(F.lit(PLACES))))) >= F.lit(DEAR_AGREE - 2)
-    other = lambda i, j: F.when(F.col("c.x") == F.col("c.y"), j["item"] > i["item"]).otherwise(F.lit(True))
-    pair = lambda i: F.transform(F.filter("right", lambda j: other(i, j) & agree(i, j)), lambda j: F.struct(F.least(i["item"], j["item"]).alias("a"), F.greatest(i["item"], j["item"]).alias("b")))
-    return cells.select(F.explode(F.flatten(F.transform("left", pair))).alias("p")).select("p.a", "p.b").distinct()
+def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by ``cell``, cut only between cells."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        cell = pdf["cell"].to_numpy()
+        last = int(np.searchsorted(cell, cell[-1]))
+        rest = pdf.iloc[last:].reset_index(drop=True)
+        if last:
+            yield pdf.iloc[:last]
+    if rest is not None:
+        yield rest
+
+
+def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b, cell): the pairs of each cell whose sizes and sketches allow the similarity."""
+    for pdf in _whole_cells(batches):
+        cell, key, size, own, tiny, split, block = (pdf[c].to_numpy() for c in ("cell", "id", "size", "own", "tiny", "split", "block"))
+        bits = np.stack([pdf[f"w{k}"].to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+        out, at, d = [], np.arange(len(cell)), 0
+        while True:  # every row with the row d places on, as long as any such two are of one cell
+            d += 1
+            at = at[at + d < len(cell)]
+            at = at[cell[at] == cell[at + d]]
+            if not len(at):
+                break
+            i, j = at, at + d
+            fits = (own[i] | own[j]) & (key[i] != key[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j])) & (~split[i] | (block[i] != block[j]))
+            i, j = i[fits], j[fits]
+            both, either = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (bits[i] & bits[j], bits[i] | bits[j]))
+            fits = tiny[i] | (both >= CLOSE * either)
+            i, j = i[fits], j[fits]
+            out.append(pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j]), "cell": cell[i]}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pairs of sets (id, size, sigs) that agree on enough segments and may be similar by their sizes."""
-    postings = sets.select("id", "size", F.explode("sigs").alias("sig"))
-    # The cost of a signature, without gathering its sets: dear ones never form one list.
-    cost = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("cost")).where(F.col("cost") > 1)
-    held = staged(postings.join(cost, "sig").select("id", "sig", "cost", (F.col("size") < 4 * TINY).alias("small")), "held-signatures")
-    cheap = held.where(F.col("cost") <= DEAR).groupBy("sig").agg(F.sort_array(F.collect_list("id")).alias("who"))
-    near = lambda x: F.transform(F.filter("who", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))
-    place = F.col("sig").bitwiseAND(F.lit(PLACES)).alias("place")
-    pairs = cheap.select("sig", F.explode(F.flatten(F.transform("who", near))).alias("p")).select("p.a", "p.b", place)
-    agreed = pairs.groupBy("a", "b").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(place as int))"))).alias("n")).where(F.col("n") >= AGREE)
-    found = agreed.select("a", "b").unionByName(dear_pairs(held.where(F.col("cost") > DEAR)))
-    # Tiny sets agree on few segments: with one on either side a single signature is enough. Its partner has less than twice its runs.
-    small = held.where("small").select(F.col("sig").alias("basket"), F.col("id").alias("item"))
-    counts = small.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    either = basket_pairs(small.join(counts, "basket")).select("a", "b")
-    sizes = sets.select("id", "size")
-    sized = lambda rows: rows.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(F.least("sa", "sb") >= F.lit(SIMILARITY) * F.greatest("sa", "sb"))
-    return sized(found).select("a", "b").unionByName(sized(either).where(F.least("sa", "sb") < 2 * TINY).select("a", "b")).distinct()
+    """(a, b, cell) with a < b: the pairs of sets that share a signature and may be similar, each with one cell where they meet."""
+    post = postings(sets)
+    cost = post.groupBy("sig").agg(F.count(F.lit(1)).alias("cost")).where(F.col("cost") > 1)
+    known = sets.select("id", "size", "bits")
+    count = F.ceil(F.col("cost") / F.lit(CELL)).cast("int")
+    placed = post.join(cost, "sig").select("sig", "id", "own", "tiny", count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.xxhash64("sig", F.least("block", o), F.greatest("block", o)).alias("cell"), (o != F.col("block")).alias("split")))
+    words = [F.get("bits", F.when(F.col("own") | F.col("tiny"), F.lit(k)).otherwise(F.lit(k + WORDS))).alias(f"w{k}") for k in range(WORDS)]
+    rows = placed.join(known, "id").select("id", "size", "own", "tiny", "block", F.explode(cells).alias("c"), *words)
+    rows = rows.select("c.cell", "c.split", "id", "size", "own", "tiny", "block", *(f"w{k}" for k in range(WORDS)))
+    found = rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_close, "a long, b long, cell long")
+    return found.groupBy("a", "b").agg(F.min("cell").alias("cell"))
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for a, b, x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["text_a"].tolist(), pdf["text_b"].tolist()):
-            p, q = ({t[i : i + RUN] for i in range(len(t) - RUN + 1)} for t in (x, y))
-            both = len(p & q)
-            if both >= SIMILARITY * (len(p) + len(q) - both):
-                out.append((a, b, both / (len(p) + len(q) - both)))
+    """(a, b, similarity) of the asked pairs of each cell that are similar, on the sets of all their runs."""
+    for pdf in _whole_cells(batches):
+        out, here, runs = [], None, {}
+        rows = [*zip(pdf["cell"].tolist(), pdf["id"].tolist(), pdf["text"].tolist(), pdf["partners"])]
+        ends = {}
+        for n, (cell, *_) in enumerate(rows):
+            ends[cell] = n + 1
+        for n, (cell, a, text, partners) in enumerate(rows):
+            if cell != here:
+                here = cell
+                runs = {k: run_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)) for _, k, t, _ in rows[n : ends[cell]]}
+            for b in partners:
+                p, q = runs[a], runs[int(b)]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= SIMILARITY * (len(p) + len(q) - both):
+                    out.append((a, int(b), both / (len(p) + len(q) - both)))
         if out:
             yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
 
+def verified(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b, cell) that are similar; a cell's texts travel once each."""
+    asked = pairs.select("cell", F.col("a").alias("id"), F.col("b").alias("partner"))
+    asked = asked.unionByName(pairs.select("cell", F.col("b").alias("id"), F.lit(None).cast("long").alias("partner")))
+    asked = asked.groupBy("cell", "id").agg(F.collect_list("partner").alias("partners"))  # at most the sets of a cell
+    texts = sketch.select("id", "text").join(asked.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return asked.join(texts, "id").repartition("cell").sortWithinPartitions("cell").select("cell", "id", "text", "partners").mapInPandas(_similar, "a long, b long, similarity double")
+
+
 def links(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs): (id, rep) of every text with the first id of its class of equal sets, and (a, b, similarity) between those first ids."""
     firsts = sketch.groupBy("same").agg(F.min("id").alias("rep"))
     classes = sketch.select("id", "same").distinct().join(firsts, "same").select("id", "rep")
     # Signatures stay where they are: only the ids of the copies, mostly few, travel to them.
     copies = classes.where(F.col("id") != F.col("rep")).select("id")
-    sets = sketch.select("id", "size", "sigs").join(copies, "id", "left_anti")
-    pairs = staged(candidates(sets.select("id", "size", "sigs")).select("a", "b"), "candidates")
-    texts = sketch.select("id", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return classes, both.mapInPandas(_similar, "a long, b long, similarity double")
+    sets = sketch.drop("text", "same").join(copies, "id", "left_anti")
+    return classes, verified(staged(candidates(sets), "candidates"), sketch)
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
