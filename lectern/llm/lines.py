@@ -24,9 +24,12 @@ def stripped(line: Column) -> Column:
 
 
 def alike(line: Column) -> Column:
-    """The form in which two lines count as the same: collapsed white space, lower case, one mark for every run of digits."""
-    spaced = F.regexp_replace(F.translate(stripped(line), BLANKS, " " * len(BLANKS)), " {2,}", " ")
-    return F.lower(F.regexp_replace(spaced, r"[0-9]+|\p{Nd}+", "0"))
+    """The form in which two stripped lines count as the same: collapsed white space, lower case, one mark for every run of digits."""
+
+    def collapsed(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
+
+    return once(F.translate(line, BLANKS[1:], " " * (len(BLANKS) - 1)), lambda x: F.lower(F.regexp_replace(collapsed(x), r"\p{Nd}+", "0")))
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.boilerplate import stories
 from lectern.llm.components import components
-from lectern.runtime import load, staged
+from lectern.runtime import load, release, staged
 
 RUN = 8
 SIMILARITY = 0.5
@@ -85,66 +86,85 @@ def run_hashes(codes: np.ndarray) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-SALTS = [mixed((np.arange(SEGMENTS, dtype=np.uint64) + np.uint64(band * SEGMENTS)) * A) for band in range(64)]
+SALTS = np.stack([mixed((np.arange(SEGMENTS, dtype=np.uint64) + np.uint64(band * SEGMENTS)) * A) for band in range(64)])
 
 
-def universe(runs: np.ndarray, band: int, least: int) -> np.ndarray:
-    """The runs of a set in the part of the universe that leaves ``least`` or more of them to a set of the band."""
-    return runs[(runs & np.uint64((1 << max(0, band - least.bit_length() + 1)) - 1)) == 0]
+def band_signatures(runs: np.ndarray, text: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, text of each): the subsets of the segments and their one-deletion neighbours of texts whose runs lie one after the other, ``band`` by text."""
+    chosen = (runs & universe_mask(band, TINY)[text]) == 0
+    runs, text = runs[chosen], text[chosen]
+    place = text * SEGMENTS + (runs >> np.uint64(40)).astype(np.int64) % SEGMENTS
+    counts, sums = np.bincount(place, minlength=len(band) * SEGMENTS), np.zeros(len(band) * SEGMENTS, dtype=np.uint64)
+    np.add.at(sums, place, runs)
+    sums += SALTS[np.repeat(band, SEGMENTS), np.tile(np.arange(SEGMENTS), len(band))]
+    held, often = np.nonzero(counts >= HELD)[0], counts[place] > HELD
+    return mixed(np.concatenate([sums[held], sums[place[often]] - runs[often]])), np.concatenate([held // SEGMENTS, text[often]])
 
 
-def band_signatures(runs: np.ndarray, band: int) -> np.ndarray:
-    """The signatures of a set in one band: its segments' subsets and their one-deletion neighbours."""
-    kept = universe(runs, band, TINY)
-    segment = (kept >> np.uint64(40)).astype(np.int64) % SEGMENTS
-    sums, counts = np.zeros(SEGMENTS, dtype=np.uint64), np.bincount(segment, minlength=SEGMENTS)
-    np.add.at(sums, segment, kept)
-    sums += SALTS[band]
-    often = counts[segment] > HELD
-    return mixed(np.concatenate([sums[counts >= HELD], sums[segment[often]] - kept[often]]))
+def universe_mask(band: np.ndarray, least: int) -> np.ndarray:
+    """The bits that are zero in the hashes of the part of the universe that leaves ``least`` runs or more to a set of the band."""
+    return (np.uint64(1) << np.maximum(0, band - least.bit_length() + 1).astype(np.uint64)) - np.uint64(1)
 
 
-def sketch_bits(runs: np.ndarray, band: int) -> np.ndarray:
-    """A bit for each run of a part of the universe."""
-    at = (universe(runs, band, SKETCHED) >> np.uint64(33)) & np.uint64(64 * WORDS - 1)
-    bits = np.zeros(WORDS, dtype=np.uint64)
-    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return bits
-
-
-def set_row(key: int, title: str | None, body: str, letters: np.ndarray) -> tuple | None:
-    """The row of ``SKETCH`` of one text; None if it has no runs."""
-    codes = comparable(f"{title or ''} {body}", letters)
-    runs = run_hashes(codes)
-    size = len(runs)
-    if not size:
-        return None
-    own = size.bit_length() - 1
-    whole = int(mixed(np.array([runs.sum() + np.uint64(size)], dtype=np.uint64)).view(np.int64)[0])
-    none = np.zeros(0, dtype=np.uint64)
-    home, guest = (none if size < TINY else band_signatures(runs, own)), (none if 2 * size < TINY else band_signatures(runs, own + 1))
-    bits = np.concatenate([sketch_bits(runs, own), sketch_bits(runs, own + 1)])
-    few = mixed(runs + B) if size < 2 * TINY else none
-    return key, size, whole, codes.tobytes().decode("utf-32-le", "surrogatepass"), *(x.view(np.int64) for x in (home, guest, few, bits))
+def sketch_bits(runs: np.ndarray, text: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A bit for each run of a part of the universe: a row of words for each text."""
+    chosen = (runs & universe_mask(band, SKETCHED)[text]) == 0
+    at = (runs[chosen] >> np.uint64(33)) & np.uint64(64 * WORDS - 1)
+    bits = np.zeros(len(band) * WORDS, dtype=np.uint64)
+    np.bitwise_or.at(bits, text[chosen] * WORDS + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return bits.reshape(-1, WORDS)
 
 
 #: home and guest: signatures in the own and the next band; few: all runs of a small set; bits: the sketches of both bands.
 SKETCH = "id long, size int, same long, text string, home array<long>, guest array<long>, few array<long>, bits array<long>"
-COLUMNS = [c.split()[0] for c in SKETCH.split(", ")]
+#: Texts that are sketched at once.
+TOGETHER = 500
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sketch_batch(keys: list[int], texts: list[str], letters: np.ndarray) -> pa.RecordBatch | None:
+    """The rows of ``SKETCH`` of the texts that have runs."""
+    kept = [(k, codes, runs) for k, t in zip(keys, texts) if len(runs := run_hashes(codes := comparable(t, letters)))]
+    if not kept:
+        return None
+    sizes = np.array([len(r) for _, _, r in kept])
+    runs, text = np.concatenate([r for *_, r in kept]), np.repeat(np.arange(len(kept)), sizes)
+    band = np.frexp(sizes.astype(np.float64))[1] - 1
+    same = mixed(np.add.reduceat(runs, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+
+    def lists(values: np.ndarray, of: np.ndarray) -> pa.ListArray:
+        ends = np.cumsum(np.bincount(of, minlength=len(kept)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[np.argsort(of, kind="stable")].view(np.int64)))
+
+    found = {
+        "id": pa.array([k for k, *_ in kept], pa.int64()), "size": pa.array(sizes, pa.int32()), "same": pa.array(same.view(np.int64)),
+        "text": pa.array([c.tobytes().decode("utf-32-le", "surrogatepass") for _, c, _ in kept], pa.string()),
+    }
+    for name, more, least in (("home", 0, TINY), ("guest", 1, TINY // 2)):
+        own = sizes[text] >= least
+        found[name] = lists(*band_signatures(runs[own], text[own], band + more))
+    small = sizes[text] < 2 * TINY
+    found["few"] = lists(mixed(runs[small] + B), text[small])
+    bits = np.concatenate([sketch_bits(runs, text, band), sketch_bits(runs, text, band + 1)], axis=1)
+    found["bits"] = lists(bits.reshape(-1), np.repeat(np.arange(len(kept)), 2 * WORDS))
+    return pa.RecordBatch.from_pydict(found)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = letter_table()
-    for pdf in batches:
-        rows = [r for r in map(set_row, pdf["id"].tolist(), pdf["title"].tolist(), pdf["body"].tolist(), [letters] * len(pdf)) if r]
-        if rows:
-            yield pd.DataFrame(rows, columns=COLUMNS)
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            keys, titles, bodies = (batch.column(c).slice(at, TOGETHER).to_pylist() for c in ("id", "title", "body"))
+            made = sketch_batch(keys, [f"{t or ''} {b}" for t, b in zip(titles, bodies)], letters)
+            if made is not None:
+                yield made
 
 
 def sketches(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """``SKETCH`` of every article with content; equal sets have equal ``same``."""
     told = stories(articles.where(F.trim("content") != ""), sources, ("title",))
-    return told.mapInPandas(_sketched, SKETCH)
+    made = staged(told.select("id", "title", "body").mapInArrow(_sketched, SKETCH), "sketches")
+    release(told)
+    return made
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -201,11 +221,11 @@ def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def candidates(sets: DataFrame) -> DataFrame:
     """(a, b, cell) with a < b: the pairs of sets that share a signature and may be similar, each with one cell where they meet."""
-    post = postings(sets)
-    cost = post.groupBy("sig").agg(F.count(F.lit(1)).alias("cost")).where(F.col("cost") > 1)
+    # One shuffle: the window spills a signature's rows and holds none of them; they part again by id before cells multiply them.
+    post = postings(sets).withColumn("cost", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where(F.col("cost") > 1)
     known = sets.select("id", "size", "bits")
     count = F.ceil(F.col("cost") / F.lit(CELL)).cast("int")
-    placed = post.join(cost, "sig").select("sig", "id", "own", "tiny", count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block"))
+    placed = post.select("sig", "id", "own", "tiny", count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.xxhash64("sig", F.least("block", o), F.greatest("block", o)).alias("cell"), (o != F.col("block")).alias("split")))
     words = [F.get("bits", F.when(F.col("own") | F.col("tiny"), F.lit(k)).otherwise(F.lit(k + WORDS))).alias(f"w{k}") for k in range(WORDS)]
     rows = placed.join(known, "id").select("id", "size", "own", "tiny", "block", F.explode(cells).alias("c"), *words)
@@ -256,7 +276,7 @@ def links(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     articles, sources = load(spark, sf_dir, "articles"), load(spark, sf_dir, "sources")
-    classes, pairs = links(staged(sketches(articles, sources), "sketches"))
+    classes, pairs = links(sketches(articles, sources))
     return staged(classes, "classes"), staged(pairs, "similar")
 
 

@@ -66,9 +66,8 @@ def test_names(spark):
 
 
 def sketched_rows(rows):
-    letters = nearcopies.letter_table()
-    made = [nearcopies.set_row(i, "", t, letters) for i, t in rows]
-    return [tuple(x.tolist() if hasattr(x, "tolist") else x for x in r) for r in made if r]
+    keys, texts = zip(*rows)
+    return [tuple(r.values()) for r in nearcopies.sketch_batch(list(keys), list(texts), nearcopies.letter_table()).to_pylist()]
 
 
 def jaccard(x, y):
@@ -147,7 +146,8 @@ def test_recall_by_similarity(spark):
 def test_every_segment_has_deletion_neighbours():
     kept = [(k << 40) | (k << 20) for k in [3] * 7 + [5] * 3 + [6]]  # segments of seven, three and one runs
     kept = nearcopies.np.array([x | i << 10 for i, x in enumerate(kept)], dtype="uint64")
-    found = nearcopies.band_signatures(kept, 5)
+    np = nearcopies.np
+    found, _ = nearcopies.band_signatures(kept, np.zeros(len(kept), dtype="int64"), np.array([5]))
     assert len(set(found.tolist())) == 1 + 7 + 1
 
 
