@@ -54,6 +54,15 @@ def staged(df: DataFrame, label: str = "stage", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove the staged files under ``tables``, once everything that reads them has been written itself."""
+    for df in tables:
+        root = shared_dir(df.sparkSession).removeprefix("file://").rstrip("/")
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            if path.removeprefix("file://").startswith(f"{root}/"):
+                _remove(df.sparkSession, path)
+
+
 def task_count(spark: SparkSession, floor: int = 8) -> int:
     """How many tasks a re-partitioning of small but costly rows should use."""
     return max(floor, spark.sparkContext.defaultParallelism * 2)
