@@ -1,20 +1,18 @@
 """The story of a page without the furniture of its site.
 
-Method: template deduction by equivalence classes over the pages of one site. The tokens of a page are its
-line openings (first word, first two words) and whole lines, each with the role its path gives it (what kind
-of line it is, whether the line is closed by a sentence mark). Tokens of a site that share their occurrence
-vector form an equivalence class; large and frequent enough classes are the template. Classes nest: a class
-that is followed by list items wherever it stands owns the list after it. What no template class covers is
-the slots' content: the story.
-
-Template tokens of a site:
-
-* whole lines (white space apart, which pages lose at times) on at least ``MIN_SHARE`` of the site's pages (and ``MIN_PAGES`` pages);
-* openings on at least ``MIN_PAGES`` pages whose lines mostly stay open ("Read more: ..."), though a slot's
-  content may close one of them;
-* the open line itself: the story's slots hold closed sentences, headings, list items and quotations, so a
-  plain line that no sentence mark closes is a template line with a slot (bylines, credits, tags);
-* list items directly after a class that owns lists (links to other stories).
+Method: template deduction by equivalence classes over the pages of one site. Tokens of a page are parts of its lines,
+told apart by their role (the kind of line, whether a sentence mark closes it): whole lines, their front and back
+halves, the first one and two words of a line that stays open, and the end of such a line. Tokens of a site that stand on
+exactly the same pages form an equivalence class. A class is template if it has ``MIN_TOKENS`` tokens or more, among them
+one that begins a line and one that ends it, and is on a large enough part of the site's pages; a frequent token
+without such company is not (an opening that many stories share has no end of its own). Classes nest: one
+that is followed by list items wherever it stands owns the list after it. What no template class covers is the slots'
+content: the story.
+
+* A class with a whole line (white space apart, which pages lose at times) on ``MIN_SHARE`` of the pages is a fixed line.
+* A class of a first word and an open end on ``SLOT_SHARE`` of the pages is a line with a slot between them (bylines,
+  credits, tags, links); the story's own paragraphs end with a sentence mark.
+* List items directly after a class that owns lists are furniture (links to other stories).
 
 Null and empty contents give no lines. Rows of one id count once. A page's blank lines are never furniture.
 """
@@ -24,32 +22,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.lines import CLOSED, LIST_ITEM, POINTER, alike, line_array, once, with_site
+from lectern.llm.lines import CLOSED, LIST_ITEM, POINTER, line_array, once, squeezed, with_site
 from lectern.runtime import load, staged
 
 MIN_PAGES = 3
 MIN_SHARE = 0.2
-#: The part of an opening's lines that must be open, and of a line's occurrences that list items must follow.
-OPEN_SHARE = 0.5
+SLOT_SHARE = 0.05
+#: The part of a line's pages on which list items must follow it.
 OWNS_LISTS = 0.7
-#: Classes need so many tokens (an opening and its line, two openings, ...).
+#: The part of an opening's pages, against those where its line stays open, on which a mark in the slot may close it.
+CLOSED_SHARE = 0.5
+#: Tokens that a class needs.
 MIN_TOKENS = 2
-OPENING = r"(?U)^(?:\w+|[^\w\s])(?:\s*(?:\w+|[^\w\s]))?"
+#: What the template of a site consists of: whole lines, first words of lines with a slot, first two words of lines that a slot may close, owners of lists.
+PARTS = ("whole", "openings", "loose", "owners")
 FIRST = r"(?U)^(?:\w+|[^\w\s])"
+OPENING = FIRST + r"(?:\s*(?:\w+|[^\w\s]))?"
 
 
 def line_roles(content: Column, with_text: bool = False) -> Column:
-    """The non-blank lines as (no, h, two, kind, open): hashes of the line and its opening, kind p l n m, openness.
+    """The non-blank lines as (no, h, front, back, first, two, kind, open): hashes of the line, its halves and its first one and two words, kind p l n m, openness.
 
-    Kinds: p plain, l list item, n pointer to elsewhere, m heading or quotation.
+    Kinds: p plain, l list item, n pointer to elsewhere, m heading or quotation. A pointer's line counts as open.
     """
 
     def role(l: Column) -> Column:
         text = l["text"]
         kind = F.when(text.rlike(LIST_ITEM), "l").when(text.rlike(r"^(#+\s|>)"), "m").when(text.rlike(POINTER), "n").otherwise("p")
         closed = F.substring(text, -12, 12).rlike(CLOSED)
+        begins = lambda pattern: F.hash(squeezed(F.regexp_extract(F.substring(text, 1, 80), pattern, 0)), kind)
         extra = [text.alias("text")] if with_text else []
-        return once(alike(text), lambda like: F.struct(l["no"].alias("no"), F.xxhash64(F.replace(like, F.lit(" "))).alias("h"), F.xxhash64(F.regexp_extract(F.substring(like, 1, 200), OPENING, 0)).alias("two"), kind.alias("kind"), (~closed).alias("open"), *extra))
+
+        def struct(like: Column) -> Column:
+            half = F.ceil(F.length(like) / 2).cast("int")
+            return F.struct(l["no"].alias("no"), F.xxhash64(like).alias("h"), F.hash(F.substring(like, F.lit(1), half)).alias("front"), F.hash(F.substring(like, half + 1, half)).alias("back"), begins(FIRST).alias("first"), begins(OPENING).alias("two"), kind.alias("kind"), ((kind == "n") | (kind == "p") & ~closed).alias("open"), *extra)
+
+        return once(squeezed(text), struct)
 
     return F.transform(line_array(content), role)
 
@@ -60,38 +68,46 @@ def pages(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return sited.select("id", "site", line_roles(F.col("content")).alias("lines")).dropDuplicates(["id"])
 
 
+def _counted(of: DataFrame, tokens: Column) -> DataFrame:
+    """(site, level, token, pages, vector, notes, front, back): the tokens of each site; equal sets of pages have equal vectors."""
+    each = of.select("site", F.xxhash64("id").alias("page"), F.explode(F.array_distinct(tokens)).alias("t")).select("site", "page", "t.*")
+    # A note says of a whole line that a list follows it, of a first word that its line is closed; it leaves the token's pages as they are.
+    shown = ~F.col("note")
+    return each.groupBy("site", "level", "token").agg(
+        F.count_if(shown).alias("pages"), F.sum(F.when(shown, F.col("page") % F.lit(1 << 40))).alias("vector"), F.count_if(~shown).alias("notes"), F.max("front").alias("front"), F.max("back").alias("back")
+    )
+
+
 def template(of: DataFrame) -> DataFrame:
-    """(site, whole, openings, owners): one row a site with the hashes of its template's tokens.
+    """(site, whole, openings, loose, owners): one row a site with the hashes of its template's lines, first words and owners of lists.
 
-    Each array is bounded by the lines of an average page over the shares above, not by the site's size.
+    Each array is bounded by the lines of an average page over the shares above, whatever the site's size.
     """
     sizes = of.groupBy("site").agg(F.count(F.lit(1)).alias("size"))
-    none = F.lit(0)
-    page = F.xxhash64("id") % F.lit(1 << 40)
-    after = lambda i: F.get("lines", i + 1)["kind"] == "l"
-    whole = F.transform(F.array_distinct(F.transform(F.filter("lines", lambda l: l["kind"] != "l"), lambda l: l["h"])), lambda h: F.struct(h.alias("token"), F.lit("w").alias("level"), F.lit(1).alias("pages"), none.alias("lines"), none.alias("opens"), none.alias("lists"), page.alias("vector")))
-    lists = F.transform(F.filter("lines", lambda l, i: (l["kind"] != "l") & after(i)), lambda l: F.struct(l["h"].alias("token"), F.lit("w").alias("level"), none.alias("pages"), none.alias("lines"), none.alias("opens"), F.lit(1).alias("lists"), F.lit(0).cast("long").alias("vector")))
-    spoken = F.filter("lines", lambda l: l["kind"].isin("p", "n"))
-    twos = F.transform(F.array_distinct(F.transform(spoken, lambda l: l["two"])), lambda h: F.struct(h.alias("token"), F.lit("o").alias("level"), F.lit(1).alias("pages"), none.alias("lines"), none.alias("opens"), none.alias("lists"), page.alias("vector")))
-    opens = F.transform(spoken, lambda l: F.struct(l["two"].alias("token"), F.lit("o").alias("level"), none.alias("pages"), F.lit(1).alias("lines"), l["open"].cast("int").alias("opens"), none.alias("lists"), F.lit(0).cast("long").alias("vector")))
-    tokens = (
-        of.select("site", F.explode(F.concat(whole, lists, twos, opens)).alias("t"))
-        .select("site", "t.*")
-        .groupBy("site", "level", "token")
-        .agg(*(F.sum(c).alias(c) for c in ("pages", "lines", "opens", "lists", "vector")))
-        .where(F.col("pages") >= MIN_PAGES)
-        .join(sizes, "site")
-    )
-    frequent = (F.col("level") == "w") & (F.col("pages") >= F.lit(MIN_SHARE) * F.col("size"))
-    opening = (F.col("level") == "o") & (F.col("opens") >= F.lit(OPEN_SHARE) * F.col("lines"))
-    owner = (F.col("level") == "w") & (F.col("lists") >= F.lit(OWNS_LISTS) * F.col("pages"))
-    valid = tokens.where(frequent | opening)
-    # Tokens with one occurrence vector are one class; a class holds if its tokens' lines do, and then all its tokens are template.
-    classes = valid.groupBy("site", "vector", "pages").agg(
-        F.collect_set(F.when(frequent, F.col("token"))).alias("whole"), F.collect_set(F.when(opening, F.col("token"))).alias("openings"), F.collect_set(F.when(owner & frequent, F.col("token"))).alias("owners")
-    )
+    token = lambda level, h, l=None, note=F.lit(False): F.struct(F.lit(level).alias("level"), h.cast("long").alias("token"), note.alias("note"), *(((l[c] if l is not None else F.lit(None)).cast("int").alias(c)) for c in ("front", "back")))
+    listed = lambda i: F.coalesce(F.get("lines", i + 1)["kind"] == "l", F.lit(False))
+    whole = F.transform(F.filter("lines", lambda l: l["kind"] != "l"), lambda l: token("whole", l["h"], l))
+    lists = F.transform(F.filter("lines", lambda l, i: (l["kind"] != "l") & listed(i)), lambda l: token("whole", l["h"], l, F.lit(True)))
+    begun = F.transform(F.filter("lines", lambda l: l["kind"].isin("p", "n")), lambda l: token("first", l["first"], None, ~l["open"]))
+    paired = F.transform(F.filter("lines", lambda l: l["kind"] == "p"), lambda l: token("two", l["two"], None, ~l["open"]))
+    share = F.when(F.col("level") == "whole", MIN_SHARE).otherwise(SLOT_SHARE)
+    often = staged(_counted(of, F.concat(whole, lists, begun, paired)).where(F.col("pages") >= MIN_PAGES).join(sizes, "site").where(F.col("pages") >= share * F.col("size")).drop("size"), "frequent-tokens")
+    # The other tokens are counted only where they may join a class of these: halves of frequent lines, ends of lines with frequent first words.
+    asked = often.groupBy("site").agg(*(F.collect_set(c).alias(f"{c}s") for c in ("front", "back")), F.collect_set(F.when(F.col("level").isin("first", "two"), F.col("token"))).alias("begun"))
+    plain = F.filter("lines", lambda l: l["kind"] != "l")
+    half = lambda c: F.transform(F.filter(plain, lambda l: F.array_contains(f"{c}s", l[c])), lambda l: token(c, l[c]))
+    end = lambda c: F.transform(F.filter("lines", lambda l: l["open"] & F.array_contains("begun", l[c].cast("long"))), lambda l: token("end", l[c]))
+    company = _counted(of.join(asked, "site"), F.concat(half("front"), half("back"), end("first"), end("two")))
+    level = lambda *names: F.col("level").isin(*names)
+    begins, closes = F.max(level("whole", "front", "first", "two")), F.max(level("whole", "back", "end"))
+    of_class = lambda c: F.collect_set(F.when(c, F.col("token")))
+    classes = often.unionByName(company).groupBy("site", "vector", "pages").agg(
+        F.count(F.lit(1)).alias("tokens"), begins.alias("begins"), closes.alias("closes"), of_class(level("whole")).alias("whole"), of_class(level("first")).alias("openings"),
+        of_class(level("two") & (F.col("notes") <= F.lit(CLOSED_SHARE) * F.col("pages"))).alias("loose"), of_class(level("whole") & (F.col("notes") >= F.lit(OWNS_LISTS) * F.col("pages"))).alias("owners"),
+    )
+    valid = classes.where((F.col("tokens") >= MIN_TOKENS) & F.col("begins") & F.col("closes"))
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    return classes.groupBy("site").agg(flat("whole"), flat("openings"), flat("owners"))
+    return valid.groupBy("site").agg(*map(flat, PARTS))
 
 
 def _codes() -> Column:
@@ -101,8 +117,9 @@ def _codes() -> Column:
 
     def code(l: Column) -> Column:
         fixed = (l["kind"] != "l") & has("whole", l["h"])
-        slot = l["kind"].isin("p", "n") & (l["open"] | has("openings", l["two"]))
-        return F.when(fixed & has("owners", l["h"]), "H").when(l["kind"] == "l", "l").when(fixed | slot | (l["kind"] == "n"), "F").otherwise("b")
+        first = l["first"].cast("long")
+        slot = l["open"] & has("openings", first) | (l["kind"] == "p") & has("loose", l["two"].cast("long"))
+        return F.when(fixed & has("owners", l["h"]), "H").when(l["kind"] == "l", "l").when(fixed | slot, "F").otherwise("b")
 
     return F.array_join(F.transform("lines", code), "")
 
@@ -110,7 +127,7 @@ def _codes() -> Column:
 def furniture_codes(of: DataFrame, tokens: DataFrame) -> DataFrame:
     """Adds ``codes`` to rows with site and lines: the letter of each line, F H L for furniture and l b for the story."""
     owned = F.regexp_replace(_codes(), r"(?:(?<=H)|\G(?<!^))l", "L")
-    return of.join(tokens, "site", "left").withColumn("codes", owned).drop("whole", "openings", "owners")
+    return of.join(tokens, "site", "left").withColumn("codes", owned).drop(*PARTS)
 
 
 def is_story(codes: Column, i: Column) -> Column:

@@ -16,7 +16,8 @@ BLANKS = " \t\r\f\x0b\x85\xa0                　
 #: Marks that end a sentence in the scripts of the corpus, and what may close after them.
 CLOSED = r"""[.!?…。！？।؟｡][*_"”»’')」』\])）]*$"""
 LIST_ITEM = r"^([-*•·–]|[0-9]+[.)])[\s ]"
-POINTER = r"^[»›→←▸►‹«⟶]\s"
+#: A mark that points elsewhere, unless it opens a quotation.
+POINTER = r"^(?:[»›→←▸►⟶]|«(?![^»]*»)|‹(?![^›]*›))\s"
 
 
 def stripped(line: Column) -> Column:
@@ -32,6 +33,11 @@ def alike(line: Column) -> Column:
     return once(F.translate(line, BLANKS[1:], " " * (len(BLANKS) - 1)), lambda x: F.lower(F.regexp_replace(collapsed(x), r"\p{Nd}+", "0")))
 
 
+def squeezed(line: Column) -> Column:
+    """The comparable form without any white space, for lines that lose or gain some."""
+    return F.lower(F.regexp_replace(F.translate(line, BLANKS, ""), r"\p{Nd}+", "0"))
+
+
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

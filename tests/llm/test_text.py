@@ -56,6 +56,27 @@ def test_template(spark):
     assert boilerplate.stories(a.limit(0), s).count() == 0
 
 
+def test_classes_decide(spark, monkeypatch):
+    """A frequent token is template only with its class: an opening of stories has no end of its own, and no token stands alone."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("aeioulmnrst") for _ in range(7))
+    rows = [(i, 1, "S.example", "t", f"At a hearing called by {word()}, the {word()} {word()}.\nBy {word().title()} {word().title()}\nMore: {word()} {'S. A.' if i == 3 else word()}\nMENU") for i in range(20)]
+    a, s = spark.createDataFrame(rows, ARTICLES), spark.createDataFrame([(1, "s.example", "en_US")], SOURCES)
+    left = lambda: {r.id: r.body for r in boilerplate.stories(a, s).collect()}
+    assert left() == {r[0]: r[4].split("\n")[0] for r in rows}
+    monkeypatch.setattr(boilerplate, "MIN_TOKENS", 9)
+    assert left() == {r[0]: r[4] for r in rows}
+
+
+def test_stories_are_the_lines_that_are_no_furniture(spark, tmp_path):
+    rows = pages() + [pages()[3], (91, 1, None, None, None), (92, None, None, None, "\n"), (93, 1, "s.example", None, "one.\n" * 5)]
+    spark.createDataFrame(rows, ARTICLES).write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([(1, "s.example", "en_US")], SOURCES).write.parquet(f"{tmp_path}/sources.parquet")
+    gone = {(r.id, r.line_no) for r in boilerplate.p5_found(spark, str(tmp_path)).collect()}
+    want = {i: "\n".join(x.strip() for n, x in enumerate(c.split("\n"), 1) if x.strip() and (i, n) not in gone) for i, *_, c in rows if c is not None}
+    assert {r.id: r.body for r in boilerplate.p5_stories(spark, str(tmp_path)).collect()} == want and gone
+
+
 def test_sentences():
     model = {k: set() for k in sentences.KINDS} | {"title": {"Dr", "Av"}, "abbr": {"art", "S. A"}, "end": {"S. A"}, "number": {"Juni"}}
     cut = lambda x: sentences.split_line(x, model)
