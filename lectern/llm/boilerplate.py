@@ -48,16 +48,21 @@ def line_roles(content: Column, with_text: bool = False) -> Column:
 
     def role(l: Column) -> Column:
         text = l["text"]
-        kind = F.when(text.rlike(LIST_ITEM), "l").when(text.rlike(r"^(#+\s|>)"), "m").when(text.rlike(POINTER), "n").otherwise("p")
-        closed = F.substring(text, -12, 12).rlike(CLOSED)
-        begins = lambda pattern: F.hash(squeezed(F.regexp_extract(F.substring(text, 1, 80), pattern, 0)), kind)
+        head = F.substring(text, 1, 1)
+        # Most lines begin with a letter and need no pattern.
+        marked = ~(F.lower(head) != F.upper(head))
+        kind = F.when(marked, F.when(text.rlike(LIST_ITEM), "l").when(text.rlike(r"^(#+\s|>)"), "m").when(text.rlike(POINTER), "n").otherwise("p")).otherwise("p")
+        opening = F.regexp_extract(F.substring(text, 1, 80), OPENING, 0)
         extra = [text.alias("text")] if with_text else []
 
-        def struct(like: Column) -> Column:
-            half = F.ceil(F.length(like) / 2).cast("int")
-            return F.struct(l["no"].alias("no"), F.xxhash64(like).alias("h"), F.hash(F.substring(like, F.lit(1), half)).alias("front"), F.hash(F.substring(like, half + 1, half)).alias("back"), begins(FIRST).alias("first"), begins(OPENING).alias("two"), kind.alias("kind"), ((kind == "n") | (kind == "p") & ~closed).alias("open"), *extra)
+        def struct(v: Column) -> Column:
+            like, kind, opening = v["like"], v["kind"], v["opening"]
+            half = F.shiftright(F.length(like) + 1, 1)
+            front, back = F.hash(F.substring(like, F.lit(1), half)), F.hash(F.substring(like, half + 1, half))
+            is_open = (kind == "n") | (kind == "p") & ~F.substring(text, -12, 12).rlike(CLOSED)
+            return F.struct(l["no"].alias("no"), F.xxhash64(like).alias("h"), front.alias("front"), back.alias("back"), F.hash(squeezed(F.regexp_extract(opening, FIRST, 0)), kind).alias("first"), F.hash(squeezed(opening), kind).alias("two"), kind.alias("kind"), is_open.alias("open"), *extra)
 
-        return once(squeezed(text), struct)
+        return once(F.struct(squeezed(text).alias("like"), kind.alias("kind"), opening.alias("opening")), struct)
 
     return F.transform(line_array(content), role)
 
