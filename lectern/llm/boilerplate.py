@@ -19,10 +19,16 @@ Null and empty contents give no lines. Rows of one id count once. A page's blank
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.lines import CLOSED, LIST_ITEM, POINTER, line_array, once, squeezed, with_site
+from lectern.llm.lines import BLANKS, CLOSED, LIST_ITEM, POINTER, once, with_site
 from lectern.runtime import load, staged
 
 MIN_PAGES = 3
@@ -36,41 +42,71 @@ CLOSED_SHARE = 0.5
 MIN_TOKENS = 2
 #: What the template of a site consists of: whole lines, first words of lines with a slot, first two words of lines that a slot may close, owners of lists.
 PARTS = ("whole", "openings", "loose", "owners")
-FIRST = r"(?U)^(?:\w+|[^\w\s])"
-OPENING = FIRST + r"(?:\s*(?:\w+|[^\w\s]))?"
-
-
-def line_roles(content: Column, with_text: bool = False) -> Column:
-    """The non-blank lines as (no, h, front, back, first, two, kind, open): hashes of the line, its halves and its first one and two words, kind p l n m, openness.
-
-    Kinds: p plain, l list item, n pointer to elsewhere, m heading or quotation. A pointer's line counts as open.
-    """
-
-    def role(l: Column) -> Column:
-        text = l["text"]
-        head = F.substring(text, 1, 1)
-        # Most lines begin with a letter and need no pattern.
-        marked = ~(F.lower(head) != F.upper(head))
-        kind = F.when(marked, F.when(text.rlike(LIST_ITEM), "l").when(text.rlike(r"^(#+\s|>)"), "m").when(text.rlike(POINTER), "n").otherwise("p")).otherwise("p")
-        opening = F.regexp_extract(F.substring(text, 1, 80), OPENING, 0)
-        extra = [text.alias("text")] if with_text else []
-
-        def struct(v: Column) -> Column:
-            like, kind, opening = v["like"], v["kind"], v["opening"]
-            half = F.shiftright(F.length(like) + 1, 1)
-            front, back = F.hash(F.substring(like, F.lit(1), half)), F.hash(F.substring(like, half + 1, half))
-            is_open = (kind == "n") | (kind == "p") & ~F.substring(text, -12, 12).rlike(CLOSED)
-            return F.struct(l["no"].alias("no"), F.xxhash64(like).alias("h"), front.alias("front"), back.alias("back"), F.hash(squeezed(F.regexp_extract(opening, FIRST, 0)), kind).alias("first"), F.hash(squeezed(opening), kind).alias("two"), kind.alias("kind"), is_open.alias("open"), *extra)
-
-        return once(F.struct(squeezed(text).alias("like"), kind.alias("kind"), opening.alias("opening")), struct)
-
-    return F.transform(line_array(content), role)
+#: A word with the marks that belong to it, or one other sign.
+WORD = "(?:(?:\\w|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f])+|[^\\w\\s])"
+OPENING = re.compile(f"({WORD})(?:\\s*{WORD})?")
+MARKED = re.compile("[#]+\\s|>")
+LISTED, POINTS, ENDED, NUMBERS = re.compile(LIST_ITEM), re.compile(POINTER), re.compile(CLOSED), re.compile(r"\d+")
+KINDS = ("p", "l", "n", "m")
+LINES = "array<struct<no:int,h:long,front:int,back:int,first:int,two:int,kind:string,open:boolean{}>>"
+
+
+def squeezed(line: str) -> str:
+    """A line in lower case without white space and digits, for lines that lose or gain some of these."""
+    return NUMBERS.sub("", "".join(line.split())).lower()
+
+
+def line_kind(line: str) -> int:
+    """The place in ``KINDS`` of p plain, l list item, n pointer to elsewhere, m heading or quotation."""
+    if line[0].isalpha():
+        return 0
+    return 1 if LISTED.match(line) else 3 if MARKED.match(line) else 2 if POINTS.match(line) else 0
+
+
+def line_roles(contents: list[str | None], with_text: bool) -> pa.ListArray:
+    """The non-blank lines of each content: hashes of the line, its halves and its first one and two words, kind, and whether it stays open. A pointer counts as open."""
+    digest = xxhash.xxh3_64_intdigest
+    no, h, front, back, first, two, kind, opened, text, ends = [], [], [], [], [], [], [], [], [], [0]
+    for content in contents:
+        for k, line in enumerate((content or "").split("\n"), 1):
+            line = line.strip(BLANKS)
+            if not line:
+                continue
+            like, sort = squeezed(line), line_kind(line)
+            half = (len(like) + 1) // 2
+            begun = OPENING.match(line[:80])
+            no.append(k)
+            h.append(digest(like))
+            front.append(digest(like[:half]))
+            back.append(digest(like[half:]))
+            first.append(digest(squeezed(begun[1]), sort) if begun else 0)
+            two.append(digest(squeezed(begun[0]), sort) if begun else 0)
+            kind.append(sort)
+            opened.append(sort == 2 or sort == 0 and not ENDED.search(line[-12:]))
+            if with_text:
+                text.append(line)
+        ends.append(len(no))
+    long = np.array(h, dtype=np.uint64).view(np.int64)
+    short = [pa.array(np.array(x, dtype=np.uint64).astype(np.uint32).view(np.int32)) for x in (front, back, first, two)]
+    kinds = pa.DictionaryArray.from_arrays(pa.array(kind, pa.int8()), pa.array(KINDS)).cast(pa.string())
+    fields = {"no": pa.array(no, pa.int32()), "h": pa.array(long), **dict(zip(("front", "back", "first", "two"), short)), "kind": kinds, "open": pa.array(opened, pa.bool_())}
+    if with_text:
+        fields["text"] = pa.array(text, pa.string())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def pages(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """(id, site, told, *keep, lines) with the roles of the lines, and their texts if asked; ``told`` if there is a content."""
+    sited = with_site(articles.where(F.col("id").isNotNull()).select("id", "source_id", "source_domain", "content", *keep), sources)
+    rows = sited.select(F.col("id").cast("long"), "site", F.col("content").isNotNull().alias("told"), *(F.col(c).cast("string") for c in keep), F.col("content").cast("string"))
 
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names if c != "content"}
+            yield pa.RecordBatch.from_pydict({**columns, "lines": line_roles(batch.column("content").to_pylist(), with_text)})
 
-def pages(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, site, lines) with the roles of the lines; one row an article."""
-    sited = with_site(articles.where(F.col("id").isNotNull()).select("id", "source_id", "source_domain", "content"), sources)
-    return sited.select("id", "site", line_roles(F.col("content")).alias("lines")).dropDuplicates(["id"])
+    kept = "".join(f", {c} string" for c in keep)
+    return rows.mapInArrow(over, f"id long, site string, told boolean{kept}, lines {LINES.format(',text:string' if with_text else '')}")
 
 
 def _counted(of: DataFrame, tokens: Column) -> DataFrame:
@@ -141,7 +177,7 @@ def is_story(codes: Column, i: Column) -> Column:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, line_no) of the content lines that are furniture."""
-    of = staged(pages(load(spark, sf_dir, "articles"), load(spark, sf_dir, "sources")), "page-roles")
+    of = staged(pages(load(spark, sf_dir, "articles"), load(spark, sf_dir, "sources")).dropDuplicates(["id"]), "page-roles")
     marked = furniture_codes(of, staged(template(of), "site-templates"))
     gone = once(F.col("codes"), lambda codes: F.filter("lines", lambda l, i: ~is_story(codes, i)))
     return marked.select("id", F.explode(F.transform(gone, lambda l: l["no"])).alias("line_no"))
@@ -153,8 +189,7 @@ def stories(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = ())
     The texts are cut into lines once and stay in their rows: only the site templates travel to them. Repeated
     rows are not merged here.
     """
-    sited = with_site(articles.where(F.col("id").isNotNull()).select("id", "source_id", "source_domain", "content", *keep), sources)
-    of = staged(sited.select("id", "site", *keep, F.col("content").isNotNull().alias("told"), line_roles(F.col("content"), True).alias("lines")), "page-lines")
+    of = staged(pages(articles, sources, keep, True), "page-lines")
     light = of.select("id", "site", F.transform("lines", lambda l: l.dropFields("text")).alias("lines")).dropDuplicates(["id"])
     marked = furniture_codes(of.where("told"), staged(template(light), "site-templates"))
     body = once(F.col("codes"), lambda codes: F.array_join(F.transform(F.filter("lines", lambda l, i: is_story(codes, i)), lambda l: l["text"]), "\n"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: What surrounds a line without being part of it (the characters Unicode calls white space, without the line feed).
 BLANKS = " \t\r\f\x0b\x85\xa0                　"
-DIGITS = "".join(c for c in map(chr, range(0x10000)) if c.isdecimal())
 #: Marks that end a sentence in the scripts of the corpus, and what may close after them.
 CLOSED = r"""[.!?…。！？।؟｡][*_"”»’')」』\])）]*$"""
 LIST_ITEM = r"^([-*•·–]|[0-9]+[.)])[\s ]"
@@ -34,11 +33,6 @@ def alike(line: Column) -> Column:
     return once(F.translate(line, BLANKS[1:], " " * (len(BLANKS) - 1)), lambda x: F.lower(F.regexp_replace(collapsed(x), r"\p{Nd}+", "0")))
 
 
-def squeezed(line: Column) -> Column:
-    """A line in lower case without any white space and digits, for lines that lose or gain some of these."""
-    return F.lower(F.translate(line, BLANKS + DIGITS, ""))
-
-
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
