@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.lines import BLANKS, CLOSED, LIST_ITEM, POINTER, once, with_site
+from lectern.llm.lines import BLANKS, CLOSED, LIST_ITEM, POINTER, once, one_row_each, with_site
 from lectern.runtime import load, staged
 
 MIN_PAGES = 3
@@ -63,35 +63,48 @@ def line_kind(line: str) -> int:
     return 1 if LISTED.match(line) else 3 if MARKED.match(line) else 2 if POINTS.match(line) else 0
 
 
-def line_roles(contents: list[str | None], with_text: bool) -> pa.ListArray:
-    """The non-blank lines of each content: hashes of the line, its halves and its first one and two words, kind, and whether it stays open. A pointer counts as open."""
-    digest = xxhash.xxh3_64_intdigest
-    no, h, front, back, first, two, kind, opened, text, ends = [], [], [], [], [], [], [], [], [], [0]
+def line_role(line: str) -> tuple[int, int, int, int, int, int, bool]:
+    """(h, front, back, first, two, kind, open) of a line: hashes of it, its halves and its first one and two words, its kind, and whether it stays open. A pointer counts as open."""
+    sort = line_kind(line)
+    if sort == 1:
+        return 0, 0, 0, 0, 0, 1, False  # list items are no tokens
+    like = squeezed(line)
+    half = (len(like) + 1) // 2
+    whole, front, back = xxhash.xxh3_64_intdigest(like), xxhash.xxh32_intdigest(like[:half]), xxhash.xxh32_intdigest(like[half:])
+    begun = OPENING.match(line[:80]) if sort != 3 else None
+    first, two = (xxhash.xxh32_intdigest(squeezed(x), sort) for x in (begun[1], begun[0])) if begun else (0, 0)
+    return whole, front, back, first, two, sort, sort == 2 or sort == 0 and not ENDED.search(line[-12:])
+
+
+#: Lines of up to so many characters whose roles are kept for the next page, and how many of them.
+SHORT, KEPT = 120, 100_000
+
+
+def line_roles(contents: list[str | None], with_text: bool, known: dict[str, tuple]) -> pa.ListArray:
+    """The non-blank lines of each content with their numbers and roles."""
+    numbers, roles, texts, ends = [], [], [], [0]
     for content in contents:
         for k, line in enumerate((content or "").split("\n"), 1):
             line = line.strip(BLANKS)
             if not line:
                 continue
-            like, sort = squeezed(line), line_kind(line)
-            half = (len(like) + 1) // 2
-            begun = OPENING.match(line[:80])
-            no.append(k)
-            h.append(digest(like))
-            front.append(digest(like[:half]))
-            back.append(digest(like[half:]))
-            first.append(digest(squeezed(begun[1]), sort) if begun else 0)
-            two.append(digest(squeezed(begun[0]), sort) if begun else 0)
-            kind.append(sort)
-            opened.append(sort == 2 or sort == 0 and not ENDED.search(line[-12:]))
+            role = known.get(line)
+            if role is None:
+                role = line_role(line)
+                if len(line) <= SHORT:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[line] = role
+            numbers.append(k)
+            roles.append(role)
             if with_text:
-                text.append(line)
-        ends.append(len(no))
-    long = np.array(h, dtype=np.uint64).view(np.int64)
-    short = [pa.array(np.array(x, dtype=np.uint64).astype(np.uint32).view(np.int32)) for x in (front, back, first, two)]
+                texts.append(line)
+        ends.append(len(numbers))
+    h, *short, kind, opened = zip(*roles) if roles else ((),) * 7
     kinds = pa.DictionaryArray.from_arrays(pa.array(kind, pa.int8()), pa.array(KINDS)).cast(pa.string())
-    fields = {"no": pa.array(no, pa.int32()), "h": pa.array(long), **dict(zip(("front", "back", "first", "two"), short)), "kind": kinds, "open": pa.array(opened, pa.bool_())}
-    if with_text:
-        fields["text"] = pa.array(text, pa.string())
+    fields = {"no": pa.array(numbers, pa.int32()), "h": pa.array(np.array(h, dtype=np.uint64).view(np.int64))}
+    fields |= {c: pa.array(np.array(x, dtype=np.uint32).view(np.int32)) for c, x in zip(("front", "back", "first", "two"), short)}
+    fields |= {"kind": kinds, "open": pa.array(opened, pa.bool_())} | ({"text": pa.array(texts, pa.string())} if with_text else {})
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
@@ -101,9 +114,10 @@ def pages(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = (), w
     rows = sited.select(F.col("id").cast("long"), "site", F.col("content").isNotNull().alias("told"), *(F.col(c).cast("string") for c in keep), F.col("content").cast("string"))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names if c != "content"}
-            yield pa.RecordBatch.from_pydict({**columns, "lines": line_roles(batch.column("content").to_pylist(), with_text)})
+            yield pa.RecordBatch.from_pydict({**columns, "lines": line_roles(batch.column("content").to_pylist(), with_text, known)})
 
     kept = "".join(f", {c} string" for c in keep)
     return rows.mapInArrow(over, f"id long, site string, told boolean{kept}, lines {LINES.format(',text:string' if with_text else '')}")
@@ -177,7 +191,7 @@ def is_story(codes: Column, i: Column) -> Column:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, line_no) of the content lines that are furniture."""
-    of = staged(pages(load(spark, sf_dir, "articles"), load(spark, sf_dir, "sources")).dropDuplicates(["id"]), "page-roles")
+    of = staged(pages(one_row_each(load(spark, sf_dir, "articles"), "id"), load(spark, sf_dir, "sources")), "page-roles")
     marked = furniture_codes(of, staged(template(of), "site-templates"))
     gone = once(F.col("codes"), lambda codes: F.filter("lines", lambda l, i: ~is_story(codes, i)))
     return marked.select("id", F.explode(F.transform(gone, lambda l: l["no"])).alias("line_no"))
@@ -190,7 +204,7 @@ def stories(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = ())
     rows are not merged here.
     """
     of = staged(pages(articles, sources, keep, True), "page-lines")
-    light = of.select("id", "site", F.transform("lines", lambda l: l.dropFields("text")).alias("lines")).dropDuplicates(["id"])
+    light = one_row_each(of, "id").select("id", "site", F.transform("lines", lambda l: l.dropFields("text")).alias("lines"))
     marked = furniture_codes(of.where("told"), staged(template(light), "site-templates"))
     body = once(F.col("codes"), lambda codes: F.array_join(F.transform(F.filter("lines", lambda l, i: is_story(codes, i)), lambda l: l["text"]), "\n"))
     return marked.select("id", *keep, body.alias("body"))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.runtime import staged
+
 #: What surrounds a line without being part of it (the characters Unicode calls white space, without the line feed).
 BLANKS = " \t\r\f\x0b\x85\xa0                　"
 #: Marks that end a sentence in the scripts of the corpus, and what may close after them.
@@ -54,6 +56,17 @@ def with_site(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return named.join(names, "_name", "left").withColumn("site", site).drop("_name", "_by_name")
 
 
+#: Repeated ids that are sent to every executor at most (8 bytes each); more are joined by key.
+FEW_IDS = 2_000_000
+
+
+def one_row_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each ``key`` without moving the others: only rows whose key repeats are shuffled. Null keys are left out."""
+    again = staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(key), "repeated-ids")
+    again = F.broadcast(again) if again.count() <= FEW_IDS else again
+    return rows.where(F.col(key).isNotNull()).join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
+
+
 def line_array(content: Column) -> Column:
     """The non-blank lines of a content as an array of (no, text), text without surrounding blanks."""
     lines = F.transform(F.split(content, "\n", -1), lambda x, i: F.struct((i + 1).alias("no"), stripped(x).alias("text")))

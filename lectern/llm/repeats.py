@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.lines import alike, line_array, with_site
+from lectern.llm.lines import alike, line_array, one_row_each, with_site
 from lectern.runtime import load, staged
 
 MIN_ARTICLES = 3
@@ -24,9 +24,9 @@ MIN_SHARE = 0.2
 
 def digests(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, site, lines) with each line as its number and the hash of its comparable form; one row an article."""
-    sited = with_site(articles.where(F.col("id").isNotNull()).select("id", "source_id", "source_domain", "content"), sources)
+    sited = with_site(one_row_each(articles, "id").select("id", "source_id", "source_domain", "content"), sources)
     lines = F.transform(line_array(F.col("content")), lambda l: F.struct(l["no"].alias("no"), F.xxhash64(alike(l["text"])).alias("h")))
-    return sited.select("id", "site", lines.alias("lines")).dropDuplicates(["id"])
+    return sited.select("id", "site", lines.alias("lines"))
 
 
 def repeated_nodes(digest: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:

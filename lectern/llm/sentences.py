@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.lines import with_site
+from lectern.llm.lines import one_row_each, with_site
 from lectern.runtime import load, staged
 
 #: Log-likelihood ratio from which an association counts (the 0.995 point of chi-squared with one degree).
@@ -279,7 +279,7 @@ def units(articles: DataFrame, model: DataFrame) -> DataFrame:
 
 def by_language(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, lang, content), one row an article with content; the language is that of the site's locale, ``und`` without one."""
-    rows = articles.where(F.col("id").isNotNull() & F.col("content").isNotNull()).select("id", "source_id", "source_domain", "content").dropDuplicates(["id"])
+    rows = one_row_each(articles.where(F.col("content").isNotNull()), "id").select("id", "source_id", "source_domain", "content")
     langs = sources.select(F.col("id").cast("string").alias("site"), F.coalesce(F.lower(F.substring("locale", 1, 2)), F.lit("und")).alias("lang"))
     return with_site(rows, sources).join(langs, "site", "left").select("id", F.coalesce("lang", F.lit("und")).alias("lang"), "content")
 
