@@ -48,7 +48,7 @@ OPENING = re.compile(f"({WORD})(?:\\s*{WORD})?")
 MARKED = re.compile("[#]+\\s|>")
 LISTED, POINTS, ENDED, NUMBERS = re.compile(LIST_ITEM), re.compile(POINTER), re.compile(CLOSED), re.compile(r"\d+")
 KINDS = ("p", "l", "n", "m")
-LINES = "array<struct<no:int,h:long,front:int,back:int,first:int,two:int,kind:string,open:boolean{}>>"
+LINES = "array<struct<no:int,h:long,front:int,back:int,first:int,two:int,kind:string,open:boolean,fresh:int{}>>"
 
 
 def squeezed(line: str) -> str:
@@ -81,9 +81,14 @@ SHORT, KEPT = 120, 100_000
 
 
 def line_roles(contents: list[str | None], with_text: bool, known: dict[str, tuple]) -> pa.ListArray:
-    """The non-blank lines of each content with their numbers and roles."""
-    numbers, roles, texts, ends = [], [], [], [0]
+    """The non-blank lines of each content with their numbers, roles and what is fresh in them.
+
+    ``fresh`` has a bit for each token that no line before has on the page: 1 the line, 2 its first word and 4 its first two words (open and
+    closed lines apart), 8 its front half, 16 its back half, 32 the line as one that list items follow.
+    """
+    numbers, roles, texts, fresh, ends = [], [], [], [], [0]
     for content in contents:
+        seen: set[tuple] = set()
         for k, line in enumerate((content or "").split("\n"), 1):
             line = line.strip(BLANKS)
             if not line:
@@ -95,6 +100,17 @@ def line_roles(contents: list[str | None], with_text: bool, known: dict[str, tup
                     if len(known) >= KEPT:
                         known.clear()
                     known[line] = role
+            h, front, back, first, two, sort, is_open = role
+            if sort == 1:
+                if fresh and len(fresh) > ends[-1] and roles[-1][5] != 1 and (32, roles[-1][0]) not in seen:
+                    seen.add((32, roles[-1][0]))
+                    fresh[-1] |= 32
+                fresh.append(0)
+            else:
+                new = {(1, h), (8, front), (16, back)} | ({(2, first, is_open), (4, two, is_open)} if sort != 3 else set())
+                new -= seen
+                seen |= new
+                fresh.append(sum(t[0] for t in new))
             numbers.append(k)
             roles.append(role)
             if with_text:
@@ -104,7 +120,7 @@ def line_roles(contents: list[str | None], with_text: bool, known: dict[str, tup
     kinds = pa.DictionaryArray.from_arrays(pa.array(kind, pa.int8()), pa.array(KINDS)).cast(pa.string())
     fields = {"no": pa.array(numbers, pa.int32()), "h": pa.array(np.array(h, dtype=np.uint64).view(np.int64))}
     fields |= {c: pa.array(np.array(x, dtype=np.uint32).view(np.int32)) for c, x in zip(("front", "back", "first", "two"), short)}
-    fields |= {"kind": kinds, "open": pa.array(opened, pa.bool_())} | ({"text": pa.array(texts, pa.string())} if with_text else {})
+    fields |= {"kind": kinds, "open": pa.array(opened, pa.bool_()), "fresh": pa.array(fresh, pa.int32())} | ({"text": pa.array(texts, pa.string())} if with_text else {})
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
@@ -123,13 +139,21 @@ def pages(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = (), w
     return rows.mapInArrow(over, f"id long, site string, told boolean{kept}, lines {LINES.format(',text:string' if with_text else '')}")
 
 
-def _counted(of: DataFrame, tokens: Column) -> DataFrame:
-    """(site, level, token, pages, vector, notes, front, back): the tokens of each site; equal sets of pages have equal vectors."""
-    each = of.select("site", F.xxhash64("id").alias("page"), F.explode(F.array_distinct(tokens)).alias("t")).select("site", "page", "t.*")
-    # A note says of a whole line that a list follows it, of a first word that its line is closed; it leaves the token's pages as they are.
+def _tokens(of: DataFrame, *kinds: tuple[str, int | Column, Column, Column]) -> DataFrame:
+    """(site, page, level, token, note, front, back): a row for each fresh token of a page; ``kinds`` are (level, bit, token, note)."""
+    lines = of.select("site", (F.xxhash64("id") % F.lit(1 << 40)).alias("page"), F.explode("lines").alias("l")).where(F.col("l.fresh") > 0).select("site", "page", "l.*")
+    made = [F.when(F.col("fresh").bitwiseAND(bit if isinstance(bit, Column) else F.lit(bit)) != 0, F.struct(F.lit(level).alias("level"), token.cast("long").alias("token"), note.alias("note"))) for level, bit, token, note in kinds]
+    return lines.select("site", "page", "front", "back", F.explode(F.array(*made)).alias("t")).where(F.col("t").isNotNull()).select("site", "page", "t.*", "front", "back")
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(site, level, token, pages, vector, notes, front, back): the tokens of each site; equal sets of pages have equal vectors.
+
+    A note says of a whole line that a list follows it, of a first word that its line is closed; it leaves the token's pages as they are.
+    """
     shown = ~F.col("note")
-    return each.groupBy("site", "level", "token").agg(
-        F.count_if(shown).alias("pages"), F.sum(F.when(shown, F.col("page") % F.lit(1 << 40))).alias("vector"), F.count_if(~shown).alias("notes"), F.max("front").alias("front"), F.max("back").alias("back")
+    return tokens.groupBy("site", "level", "token").agg(
+        F.count_if(shown).alias("pages"), F.sum(F.when(shown, F.col("page"))).alias("vector"), F.count_if(~shown).alias("notes"), F.max("front").alias("front"), F.max("back").alias("back")
     )
 
 
@@ -139,22 +163,18 @@ def template(of: DataFrame) -> DataFrame:
     Each array is bounded by the lines of an average page over the shares above, whatever the site's size.
     """
     sizes = of.groupBy("site").agg(F.count(F.lit(1)).alias("size"))
-    token = lambda level, h, l=None, note=F.lit(False): F.struct(F.lit(level).alias("level"), h.cast("long").alias("token"), note.alias("note"), *(((l[c] if l is not None else F.lit(None)).cast("int").alias(c)) for c in ("front", "back")))
-    listed = lambda i: F.coalesce(F.get("lines", i + 1)["kind"] == "l", F.lit(False))
-    whole = F.transform(F.filter("lines", lambda l: l["kind"] != "l"), lambda l: token("whole", l["h"], l))
-    lists = F.transform(F.filter("lines", lambda l, i: (l["kind"] != "l") & listed(i)), lambda l: token("whole", l["h"], l, F.lit(True)))
-    begun = F.transform(F.filter("lines", lambda l: l["kind"].isin("p", "n")), lambda l: token("first", l["first"], None, ~l["open"]))
-    paired = F.transform(F.filter("lines", lambda l: l["kind"] == "p"), lambda l: token("two", l["two"], None, ~l["open"]))
+    no, yes, closed = F.lit(False), F.lit(True), ~F.col("open")
     share = F.when(F.col("level") == "whole", MIN_SHARE).otherwise(SLOT_SHARE)
-    often = staged(_counted(of, F.concat(whole, lists, begun, paired)).where(F.col("pages") >= MIN_PAGES).join(sizes, "site").where(F.col("pages") >= share * F.col("size")).drop("size"), "frequent-tokens")
+    first = _tokens(of, ("whole", 1, F.col("h"), no), ("whole", 32, F.col("h"), yes), ("first", 2, F.col("first"), closed), ("two", 4, F.col("two"), closed))
+    often = staged(_counted(first).where(F.col("pages") >= MIN_PAGES).join(sizes, "site").where(F.col("pages") >= share * F.col("size")).drop("size"), "frequent-tokens")
     # The other tokens are counted only where they may join a class of these: halves of frequent lines, ends of lines with frequent first words.
-    asked = often.groupBy("site").agg(*(F.collect_set(c).alias(f"{c}s") for c in ("front", "back")), F.collect_set(F.when(F.col("level").isin("first", "two"), F.col("token"))).alias("begun"))
-    plain = F.filter("lines", lambda l: l["kind"] != "l")
-    half = lambda c: F.transform(F.filter(plain, lambda l: F.array_contains(f"{c}s", l[c])), lambda l: token(c, l[c]))
-    end = lambda c: F.transform(F.filter("lines", lambda l: l["open"] & F.array_contains("begun", l[c].cast("long"))), lambda l: token("end", l[c]))
-    company = _counted(of.join(asked, "site"), F.concat(half("front"), half("back"), end("first"), end("two")))
+    asked = lambda level, token, of_level: often.where(F.col("level").isin(*of_level)).select("site", F.lit(level).alias("level"), F.col(token).cast("long").alias("token"))
+    keys = asked("front", "front", ["whole"]).unionByName(asked("back", "back", ["whole"])).unionByName(asked("end", "token", ["first"])).unionByName(asked("end2", "token", ["two"])).distinct()
+    ends = lambda bit: F.when(F.col("open"), F.lit(bit)).otherwise(F.lit(0))
+    others = _tokens(of, ("front", 8, F.col("front"), no), ("back", 16, F.col("back"), no), ("end", ends(2), F.col("first"), no), ("end2", ends(4), F.col("two"), no))
+    company = _counted(others.join(keys, ["site", "level", "token"]))
     level = lambda *names: F.col("level").isin(*names)
-    begins, closes = F.max(level("whole", "front", "first", "two")), F.max(level("whole", "back", "end"))
+    begins, closes = F.max(level("whole", "front", "first", "two")), F.max(level("whole", "back", "end", "end2"))
     of_class = lambda c: F.collect_set(F.when(c, F.col("token")))
     classes = often.unionByName(company).groupBy("site", "vector", "pages").agg(
         F.count(F.lit(1)).alias("tokens"), begins.alias("begins"), closes.alias("closes"), of_class(level("whole")).alias("whole"), of_class(level("first")).alias("openings"),
