@@ -53,7 +53,8 @@ LINES = "array<struct<no:int,h:long,front:int,back:int,first:int,two:int,kind:st
 
 def squeezed(line: str) -> str:
     """A line in lower case without white space and digits, for lines that lose or gain some of these."""
-    return NUMBERS.sub("", "".join(line.split())).lower()
+    like = "".join(line.split()).lower()
+    return like if like.isalpha() else NUMBERS.sub("", like)
 
 
 def line_kind(line: str) -> int:
@@ -63,17 +64,19 @@ def line_kind(line: str) -> int:
     return 1 if LISTED.match(line) else 3 if MARKED.match(line) else 2 if POINTS.match(line) else 0
 
 
-def line_role(line: str) -> tuple[int, int, int, int, int, int, bool]:
-    """(h, front, back, first, two, kind, open) of a line: hashes of it, its halves and its first one and two words, its kind, and whether it stays open. A pointer counts as open."""
+def line_role(line: str) -> tuple[tuple, tuple]:
+    """(role, tokens) of a line. The role is (h, front, back, first, two, kind, open): hashes of the line, its halves and its first one and two words, its kind, and whether it stays open. A pointer counts as open."""
     sort = line_kind(line)
     if sort == 1:
-        return 0, 0, 0, 0, 0, 1, False  # list items are no tokens
+        return (0, 0, 0, 0, 0, 1, False), ()  # list items are no tokens
     like = squeezed(line)
     half = (len(like) + 1) // 2
     whole, front, back = xxhash.xxh3_64_intdigest(like), xxhash.xxh32_intdigest(like[:half]), xxhash.xxh32_intdigest(like[half:])
     begun = OPENING.match(line[:80]) if sort != 3 else None
     first, two = (xxhash.xxh32_intdigest(squeezed(x), sort) for x in (begun[1], begun[0])) if begun else (0, 0)
-    return whole, front, back, first, two, sort, sort == 2 or sort == 0 and not ENDED.search(line[-12:])
+    is_open = sort == 2 or sort == 0 and not ENDED.search(line[-12:])
+    tokens = ((1, whole), (8, front), (16, back), (2, first, is_open), (4, two, is_open))
+    return (whole, front, back, first, two, sort, is_open), tokens[:3] if sort == 3 else tokens
 
 
 #: Lines of up to so many characters whose roles are kept for the next page, and how many of them.
@@ -100,17 +103,16 @@ def line_roles(contents: list[str | None], with_text: bool, known: dict[str, tup
                     if len(known) >= KEPT:
                         known.clear()
                     known[line] = role
-            h, front, back, first, two, sort, is_open = role
-            if sort == 1:
-                if fresh and len(fresh) > ends[-1] and roles[-1][5] != 1 and (32, roles[-1][0]) not in seen:
-                    seen.add((32, roles[-1][0]))
-                    fresh[-1] |= 32
-                fresh.append(0)
-            else:
-                new = {(1, h), (8, front), (16, back)} | ({(2, first, is_open), (4, two, is_open)} if sort != 3 else set())
-                new -= seen
-                seen |= new
-                fresh.append(sum(t[0] for t in new))
+            role, tokens = role
+            if not tokens and len(fresh) > ends[-1] and roles[-1][5] != 1 and (32, roles[-1][0]) not in seen:
+                seen.add((32, roles[-1][0]))
+                fresh[-1] |= 32
+            bits = 0
+            for t in tokens:
+                if t not in seen:
+                    seen.add(t)
+                    bits |= t[0]
+            fresh.append(bits)
             numbers.append(k)
             roles.append(role)
             if with_text:

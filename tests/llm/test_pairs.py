@@ -65,9 +65,12 @@ def test_names(spark):
     assert names.variants(empty)[1].count() == 0
 
 
-def sketched_rows(rows):
-    keys, texts = zip(*rows)
-    return [tuple(r.values()) for r in nearcopies.sketch_batch(list(keys), list(texts), nearcopies.letter_table()).to_pylist()]
+def linked(spark, rows):
+    """(classes, pairs, the comparable texts) of (id, text) rows."""
+    told = spark.createDataFrame(rows, "id long, text string")
+    letters = nearcopies.letter_table()
+    clean = {i: nearcopies.comparable(t, letters).tobytes().decode("utf-32-le") for i, t in rows}
+    return *nearcopies.links(nearcopies.sketches(told), told), {i: t for i, t in clean.items() if len(t) >= nearcopies.RUN}
 
 
 def jaccard(x, y):
@@ -86,19 +89,14 @@ def test_near_copies(spark, monkeypatch):
         texts.append(" ".join(w))
     texts += [texts[0], texts[0].upper() + "!", "short", "", "longer one"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
-    sketch = spark.createDataFrame(sketched_rows(rows), nearcopies.SKETCH)
-    classes, pairs = nearcopies.links(sketch)
+    classes, pairs, clean = linked(spark, rows)
     rep = {r.id: r.rep for r in classes.collect()}
     got = {(r.a, r.b) for r in pairs.collect()}
-    clean = {r.id: r.text for r in sketch.collect()}
     want = {(a, b) for a, b in itertools.combinations(sorted(set(rep.values())), 2) if jaccard(clean[a], clean[b]) >= 0.5}
     assert got <= want and len(got) >= 0.9 * len(want) and want
     assert rep[65] == rep[66] == rep[0] == 0 and 67 not in rep
-    assert nearcopies.links(sketch.limit(0))[1].count() == 0
-
-
-def sketched(spark, texts):
-    return spark.createDataFrame(sketched_rows(enumerate(texts)), nearcopies.SKETCH)
+    none = spark.createDataFrame([], "id long, text string")
+    assert nearcopies.links(nearcopies.sketches(none), none)[1].count() == 0
 
 
 def test_groups_of_near_copies(spark):
@@ -114,7 +112,7 @@ def test_groups_of_near_copies(spark):
                 copy[at] = word() + "q"
             group[len(texts)] = k
             texts.append(" ".join(copy))
-    classes, pairs = nearcopies.links(sketched(spark, texts))
+    classes, pairs, _ = linked(spark, [*enumerate(texts)])
     alone = {r.id for r in classes.where("id = rep").collect()}
     got = {(r.a, r.b) for r in pairs.collect()}
     for k in range(4):
@@ -132,10 +130,8 @@ def test_recall_by_similarity(spark):
         base = [word() for _ in range(rnd.choice((30, 80, 200)))]
         copy = [word() if rnd.random() < 0.01 * (k % 12) else w for w in base]
         texts += [" ".join(base), " ".join(copy)]
-    sketch = sketched(spark, texts)
-    classes, pairs = nearcopies.links(sketch)
+    classes, pairs, clean = linked(spark, [*enumerate(texts)])
     rep = {r.id: r.rep for r in classes.collect()}
-    clean = {r.id: r.text for r in sketch.collect()}
     got = {(r.a, r.b) for r in pairs.collect()}
     sims = {(a, a + 1): jaccard(clean[a], clean[a + 1]) for a in range(0, len(texts), 2) if rep[a] != rep[a + 1]}
     high, low = ({p for p, s in sims.items() if lo <= s < hi} for lo, hi in ((0.65, 1), (0.5, 0.65)))
@@ -161,10 +157,9 @@ def test_tiny_texts_on_both_sides(spark):
         tiny = long[:n] + rnd.choice("wxy") + long[n + 1 :]
         texts += [long, tiny] if k % 2 else [tiny, long]
     texts += ["the same start " + t for t in texts]
-    sketch = sketched(spark, texts)
-    _, pairs = nearcopies.links(sketch)
-    clean = {r.id: (r.text, r.size) for r in sketch.collect()}
-    want = {(a, b) for a, b in itertools.combinations(sorted(clean), 2) if min(clean[a][1], clean[b][1]) < nearcopies.TINY and jaccard(clean[a][0], clean[b][0]) >= 0.5}
+    _, pairs, clean = linked(spark, [*enumerate(texts)])
+    size = {i: len({t[k : k + 8] for k in range(len(t) - 7)}) for i, t in clean.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(clean), 2) if min(size[a], size[b]) < nearcopies.TINY and jaccard(clean[a], clean[b]) >= 0.5}
     got = {(r.a, r.b) for r in pairs.collect()}
     assert want <= got and len(want) > 20
 
