@@ -96,6 +96,39 @@ def test_sentence_rows(spark):
     assert sentences.learn(a.limit(0)).count() == 0
 
 
+def test_every_half_and_every_change_is_found():
+    """Passages of 1 to 40 words: every qualifying part of them, wherever its words are changed, and nothing shorter."""
+    rnd = random.Random(6)
+    for n in range(1, 41):
+        words = [f"w{i}" for i in range(n)]
+        index = leakage.PassageIndex([words])
+        least = -(-n // 2)
+        for t in range(least, n + 1):
+            for at in {0, (n - t) // 2, n - t}:
+                inner, most = range(1, t - 1), t // 6
+                changes = [(), *((i,) for i in inner if most)] + [tuple(rnd.sample(inner, k)) for k in range(2, most + 1) for _ in range(4)]
+                changes += [tuple(t * (k + 1) // (most + 1) for k in range(most))]
+                for c in changes:
+                    text = ["x", *("z" if i in c else w for i, w in enumerate(words[at : at + t])), "y"]
+                    assert index.found(" ".join(text)), (n, t, at, c)
+        assert n < 2 or least < 2 or not index.found(" ".join(["x", *words[: least - 1], "y"]))
+
+
+def test_cleaned_texts_hold_no_leak(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passages = [" ".join(word() for _ in range(12)) for _ in range(4)] + ["日本語の文章を確かめる問題です"]
+    items = spark.createDataFrame([(k, p) for k, p in enumerate(passages)] + [(9, passages[0]), (10, None), (11, "")], "item_id long, passage string")
+    texts = [f"Before, {passages[0].upper()} after.", f"{passages[1]} and {passages[1]}", "nothing here", None, "", f"前。{passages[4]}後", " ".join(passages[2].split()[:7])]
+    docs = spark.createDataFrame([*enumerate(texts), (None, passages[0])], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.leaked_items) for r in leakage.cleaned(docs, items).collect()}
+    assert set(got) == set(range(7)) and [got[k][1] for k in range(7)] == [2, 1, 0, 0, 0, 1, 1]
+    assert got[0][0] == "Before,  after." and got[1][0] == " and " and got[2][0] == "nothing here" and got[3][0] is None and got[4][0] == "" and got[5][0] == "前。後" and got[6][0] == ""
+    left = spark.createDataFrame([(k, t) for k, (t, _) in got.items()], "doc_id long, text string")
+    assert leakage.leaks(left, items).count() == 0
+    assert leakage.cleaned(docs, items.limit(0)).where("leaked_items > 0").count() == 0
+
+
 def test_leaks_equal_brute_force(spark):
     rnd = random.Random(3)
     vocabulary = [f"w{k}" for k in range(300)]
