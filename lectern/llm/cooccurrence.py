@@ -12,6 +12,7 @@ the pairs that can matter, so counts stay exact (see ``associations``).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from lectern.runtime import load, staged
 LONG = 512
 #: Items of one cell of a basket: bounds the array one task holds, whatever the basket's size.
 CELL = 64
+#: Buckets of a table unless it says otherwise, and the tasks that write each of them.
 BUCKETS = 16
+WRITERS = 4
 
 
 def baskets(rows: DataFrame, basket: str, item: str) -> DataFrame:
@@ -48,8 +51,13 @@ def basket_pairs(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     return cells.select("weight", F.explode(F.flatten(F.transform("left", pair))).alias("p")).groupBy("p.a", "p.b").agg(F.sum("weight").alias("n"))
 
 
-def _bucket(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a bucket in ``WRITERS`` tasks, so that neither their number nor their size hangs on the buckets."""
+    return rows.repartition("bucket", F.pmod(F.hash(*keys), F.lit(WRITERS)))
 
 
 @dataclass
@@ -61,32 +69,33 @@ class PairTable:
     items: dict[int, DataFrame] = field(default_factory=dict)
     long_rows: DataFrame | None = None
     baskets: int = 0
+    buckets: int = BUCKETS
 
     def updated(self, old: DataFrame | None, new: DataFrame | None) -> PairTable:
         """The table after the changed baskets' old rows (basket, item) are replaced by the new ones."""
         signed = [x.withColumn("sign", F.lit(s)) for x, s in ((old, -1), (new, 1)) if x is not None]
         rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
-        sizes = rows.groupBy("basket", "sign").agg(F.count(F.lit(1)).alias("size"))
+        sizes = staged(rows.groupBy("basket", "sign").agg(F.count(F.lit(1)).alias("size")), "basket-sizes")
         rows = staged(rows.join(sizes, ["basket", "sign"]), "changed-baskets")
         short, long = rows.where(F.col("size") <= LONG), rows.where(F.col("size") > LONG)
-        count = rows.groupBy().agg(F.sum(F.col("sign") / F.col("size")).alias("n")).first().n or 0
+        count = sizes.groupBy().agg(F.sum("sign").alias("n")).first().n or 0
         pairs = self._merged(self.pairs, basket_pairs(short, F.col("sign")), ["a", "b"])
         items = self._merged(self.items, rows.groupBy("item").agg(F.sum("sign").alias("n")), ["item"])
         kept = long.where(F.col("sign") == 1).select("basket", "item")
         if self.long_rows is not None:
             kept = self.long_rows.join(long.where(F.col("sign") == -1).select("basket").distinct(), "basket", "left_anti").unionByName(kept)
-        return PairTable(self.spark, pairs, items, staged(kept, "long-baskets"), self.baskets + round(count))
+        return PairTable(self.spark, pairs, items, staged(kept, "long-baskets"), self.baskets + count, self.buckets)
 
     def _merged(self, state: dict[int, DataFrame], delta: DataFrame, keys: list[str]) -> dict[int, DataFrame]:
         """``state`` with the touched buckets rewritten: one pass over the delta and the buckets it touches."""
-        delta = staged(delta.where(F.col("n") != 0).withColumn("bucket", _bucket(*keys)).repartition("bucket"), "deltas", ["bucket"])
-        touched = sorted(r.bucket for r in delta.select("bucket").distinct().collect())  # at most BUCKETS rows
+        delta = staged(delta.where(F.col("n") != 0).withColumn("bucket", _bucket(self.buckets, *keys)).transform(_spread, *keys), "deltas", ["bucket"])
+        touched = sorted(r.bucket for r in delta.select("bucket").distinct().collect())  # at most as many rows as buckets
         before = [state[b].withColumn("bucket", F.lit(b)) for b in touched if b in state]
         merged = delta.select(*keys, "n", "bucket")
         if before:
             for x in before:
                 merged = merged.unionByName(x.select(*keys, "n", "bucket"))
-            merged = staged(merged.groupBy("bucket", *keys).agg(F.sum("n").alias("n")).where(F.col("n") != 0).repartition("bucket"), "counts", ["bucket"])
+            merged = staged(merged.groupBy("bucket", *keys).agg(F.sum("n").alias("n")).where(F.col("n") != 0).transform(_spread, *keys), "counts", ["bucket"])
         return {**state, **{b: merged.where(F.col("bucket") == b).select(*keys, "n") for b in touched}}
 
     def _all(self, state: dict[int, DataFrame], schema: str) -> DataFrame:
@@ -95,6 +104,34 @@ class PairTable:
             out = b if out is None else out.unionByName(b)
         return self.spark.createDataFrame([], schema) if out is None else out
 
+    def save(self, path: str) -> None:
+        """Write the table into a folder that ``loaded`` reads back, one partition a bucket."""
+        for name, state, schema in (("pairs", self.pairs, "a long, b long, n long"), ("items", self.items, "item long, n long")):
+            rows = [x.withColumn("bucket", F.lit(b)) for b, x in state.items()] or [self.spark.createDataFrame([], f"{schema}, bucket int")]
+            reduce(DataFrame.unionByName, rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        long = self.long_rows if self.long_rows is not None else self.spark.createDataFrame([], "basket long, item long")
+        long.write.mode("overwrite").parquet(f"{path}/long")
+        self.spark.createDataFrame([(self.baskets, self.buckets)], "baskets long, buckets int").write.mode("overwrite").parquet(f"{path}/counts")
+
+    @classmethod
+    def loaded(cls, spark: SparkSession, path: str) -> PairTable:
+        """The table that ``save`` wrote."""
+        counts = spark.read.parquet(f"{path}/counts").first()
+
+        def state(name: str, schema: str) -> dict[int, DataFrame]:
+            rows = spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/{name}")
+            known = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most as many rows as buckets
+            return {b: rows.where(F.col("bucket") == b).drop("bucket") for b in known}
+
+        return cls(spark, state("pairs", "a long, b long, n long"), state("items", "item long, n long"), spark.read.parquet(f"{path}/long"), counts.baskets, counts.buckets)
+
+    def affected(self, items: DataFrame, min_count: int) -> DataFrame:
+        """``associations`` of the pairs with one of the ``items`` (item), whose own or common counts an update has changed."""
+        scored = self.associations(min_count)
+        mine = lambda side: items.select(F.col("item").alias(side)).distinct()
+        one = scored.join(mine("entity_a"), "entity_a", "left_semi")
+        return one.unionByName(scored.join(mine("entity_a"), "entity_a", "left_anti").join(mine("entity_b"), "entity_b", "left_semi"))
+
     def associations(self, min_count: int) -> DataFrame:
         """(entity_a, entity_b, n_ab, n_a, n_b, lift) of the pairs that share at least ``min_count`` baskets.
 

@@ -23,13 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.runtime import load
+from lectern.runtime import load, staged
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k"
 #: Labelled rows of each language that the fit may use, and the characters of each of them.
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 3_000
+#: Notations of labels that are sent to every executor at most.
+MAX_LABELS = 10_000
 LONGEST_PIECE = 18
 ROUNDS = 2
 STEPS = 2
@@ -197,8 +199,12 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
     labels = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("code", code("lang")).where(F.col("code").isNotNull())
     shares = labels.groupBy("code").agg(F.sum("n").alias("all")).join(labels, "code").select("code", "lang", (F.lit(float(SAMPLE_ROWS)) / F.col("all")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = docs.where(F.col("text").isNotNull()).join(shares, "lang").where(chance < F.col("share")).select("code", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id")
-    return [(r.code, r.text) for r in chosen.orderBy("doc_id").limit(2 * SAMPLE_ROWS * len(CODES)).collect()]
+    # The labels that mean a language are few; they travel to the rows, no text is shuffled.
+    shares = staged(shares, "label-shares")
+    shares = F.broadcast(shares) if shares.count() <= MAX_LABELS else shares
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    chosen = rows.join(shares, "lang").where(chance < F.col("share")).select("code", "text", "doc_id")
+    return [(r.code, r.text) for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_ROWS * len(CODES)).collect()]
 
 
 def segments(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:

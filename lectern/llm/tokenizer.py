@@ -31,6 +31,8 @@ PLAIN_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters of one block: bounds the memory of a block's row.
 BLOCK_CHARS = 1_000_000
+#: A word is hot in more than this many blocks and more than one part in ``HOT_PARTS`` of them; more hot words than ``MAX_HOT`` are joined by key too.
+HOT_BLOCKS, HOT_PARTS, MAX_HOT = 64, 16, 500_000
 
 
 def _odd_characters() -> frozenset[str]:
@@ -112,8 +114,17 @@ def encode(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str
     odd = _odd_characters()
     blocks = staged(source.mapInPandas(lambda batches: _blocks(batches, odd), "block long, doc_ids array<long>, lengths array<int>, codes array<int>, words array<string>"), "token-blocks")
     words = blocks.select("block", F.posexplode("words").alias("no", "word"))
-    distinct = words.select("word").distinct().repartition(task_count(spark), "word").mapInPandas(encoded, "word string, ids array<int>")
-    tables = words.join(distinct, "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("table"))
+    # A word that a large part of the blocks hold would be one key of the join. Such words are at most HOT_PARTS times an average
+    # block's, whatever the corpus; they are broadcast, the others joined by key.
+    count = blocks.count()
+    hot = staged(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_BLOCKS, count // HOT_PARTS)).select("word"), "hot-words")
+    few = hot.count() <= MAX_HOT
+    hot = F.broadcast(hot.coalesce(1).mapInPandas(encoded, "word string, ids array<int>")) if few else None
+    rest = words.join(F.broadcast(hot.select("word")), "word", "left_anti") if few else words
+    distinct = rest.select("word").distinct().repartition(task_count(spark), "word").mapInPandas(encoded, "word string, ids array<int>")
+    joined_back = rest.join(distinct, "word")
+    joined_back = joined_back.unionByName(words.join(hot, "word")) if few else joined_back
+    tables = joined_back.groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("table"))
     return blocks.drop("words").join(tables, "block", "left").mapInPandas(assembled, "doc_id long, ids array<int>")
 
 

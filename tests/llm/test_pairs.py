@@ -18,7 +18,7 @@ def brute(rows, n_min):
     return {p: n for p, n in pairs.items() if n >= n_min}, len(baskets)
 
 
-def test_pair_table(spark, monkeypatch):
+def test_pair_table(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(cooccurrence, "CELL", 3)
     monkeypatch.setattr(cooccurrence, "LONG", 9)
     rnd = random.Random(2)
@@ -35,6 +35,12 @@ def test_pair_table(spark, monkeypatch):
     table = table.updated(old, new)
     want, n = brute(changed, 3)
     assert {(r.entity_a, r.entity_b): r.n_ab for r in table.associations(3).collect()} == want and table.baskets == n
+    table.save(str(tmp_path))
+    table = cooccurrence.PairTable.loaded(spark, str(tmp_path))
+    scored = {(r.entity_a, r.entity_b): r.n_ab for r in table.associations(3).collect()}
+    assert scored == want and table.baskets == n
+    items = spark.createDataFrame([(4,), (5,)], "item long")
+    assert {(r.entity_a, r.entity_b): r.n_ab for r in table.affected(items, 3).collect()} == {p: c for p, c in want.items() if {4, 5} & set(p)}
     empty = cooccurrence.PairTable(spark).updated(None, b.limit(0))
     assert empty.associations(1).count() == 0 and empty.baskets == 0
 
