@@ -103,3 +103,27 @@ def netloc(url: Column) -> Column:
 def size_text(n: Column) -> Column:
     """A number of bytes as B, KB or MB."""
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+
+
+#: Words that the benchmark's form of a name leaves out (fixed values).
+BENCH_STOPWORDS = ("el", "la", "los", "las", "de", "del", "y", "e", "en", "con", "por", "para")
+
+
+def bench_normalized(name: Column) -> Column:
+    """A name in the benchmark's form: lower case, no accents, no small words, and only then no punctuation."""
+    plain = F.translate(F.lower(name), "áéíóúñüàèìòùâêîôûãõç", "aeiounuaeiouaeiouaoc")
+    words = F.filter(F.split(plain, r"\s+"), lambda w: (w != "") & ~w.isin(*BENCH_STOPWORDS))
+    return F.trim(F.regexp_replace(F.array_join(words, " "), r"[^\p{L}\p{M}\p{N}_\s]", ""))
+
+
+def bench_ngrams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text between two marks on either side."""
+    padded = F.concat(F.lit("$$"), text, F.lit("$$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n))))
+
+
+def bench_word_ngrams(text: Column) -> Column:
+    """The distinct pairs of neighbouring words and the words themselves; a text of one word or none alone."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+    return F.when(F.size(words) < 2, F.array(text)).otherwise(F.array_distinct(F.concat(pairs, words)))

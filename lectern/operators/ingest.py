@@ -22,9 +22,9 @@ def upserted(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     hit = F.col("n_hash").isNotNull() | F.col("u_hash").isNotNull()
     changed = F.lit(force) | pick("cleaned_html_hash").isNull() | F.col("cleaned_html_hash").isNull() | (pick("cleaned_html_hash") != F.col("cleaned_html_hash"))
     action = F.when(~hit, "kept").when(changed, "reset").otherwise("updated")
-    merged = both.select("id", F.when(hit, pick("hash")).otherwise(F.col("hash")).alias("hash"), F.when(hit, pick("title")).otherwise(F.col("title")).alias("title"), F.when(hit & changed, F.lit(None)).otherwise(F.col("clusterized_at")).alias("clusterized_at"), action.alias("action"))
+    merged = both.select("id", F.when(hit, pick("url")).otherwise(F.col("url")).alias("url"), F.when(hit, pick("cleaned_html_hash")).otherwise(F.col("cleaned_html_hash")).alias("cleaned_html_hash"), F.when(hit, pick("hash")).otherwise(F.col("hash")).alias("hash"), F.when(hit, pick("title")).otherwise(F.col("title")).alias("title"), F.when(hit & changed, F.lit(None)).otherwise(F.col("clusterized_at")).alias("clusterized_at"), action.alias("action"))
     fresh = left.join(old.select(F.col("url").alias("o_url")).where(F.col("url").isNotNull()).distinct(), F.col("n_url") == F.col("o_url"), "left_anti")
-    created = fresh.select(F.lit(None).cast("long").alias("id"), F.col("n_hash").alias("hash"), F.col("n_title").alias("title"), F.lit(None).cast("timestamp_ntz").alias("clusterized_at"), F.lit("created").alias("action"))
+    created = fresh.select(F.lit(None).cast("long").alias("id"), F.col("n_url").alias("url"), F.col("n_cleaned_html_hash").alias("cleaned_html_hash"), F.col("n_hash").alias("hash"), F.col("n_title").alias("title"), F.lit(None).cast("timestamp_ntz").alias("clusterized_at"), F.lit("created").alias("action"))
     return merged.unionByName(created)
 
 

@@ -12,10 +12,9 @@ HALF_LIVES = {"breaking": 6.0, "timely": 12.0, "evergreen": 48.0}
 TIERS = ((0.75, "critical"), (0.55, "high"), (0.35, "medium"))
 
 
-def entity_relevance(name: Column, mentions: Column, total: Column, title: Column, subtitle: Column, content: Column) -> Column:
-    """The share of mentions, raised by half of it for the title, a quarter for the subtitle, and for early places and many mentions; 0 without mentions."""
+def entity_relevance(name: Column, mentions: Column, total: Column, title: Column, subtitle: Column, flat: Column) -> Column:
+    """``flat`` is the content in lower case with collapsed white space. The share of mentions, raised by half of it for the title, a quarter for the subtitle, and for early places and many mentions; 0 without mentions."""
     holds = lambda text: F.coalesce(F.contains(F.lower(text), F.lower(name)), F.lit(False))
-    flat = F.lower(F.regexp_replace(F.coalesce(content, F.lit("")), r"\s+", " "))
     place = F.try_divide(F.instr(flat, F.lower(name)) - 1, F.length(flat))
     found = F.instr(flat, F.lower(name)) > 0
     bonus = F.when(holds(title), 0.5).otherwise(0.0) + F.when(holds(subtitle), 0.25).otherwise(0.0)
@@ -46,6 +45,11 @@ def with_transfers(scored: DataFrame, refs: DataFrame) -> DataFrame:
     return own.unionByName(given).groupBy("article_id", "entity_id").agg(F.sum("r").alias("relevance"))
 
 
+def cluster_boost(name: Column, core: Column, secondary: Column) -> Column:
+    """1.3 for a name in a core sentence, else 1 for one in a secondary sentence, else 0.7; texts and name in lower case."""
+    return F.when(F.contains(core, name), 1.3).when(F.contains(secondary, name), 1.0).otherwise(0.7)
+
+
 def cluster_score(size: Column, total: Column, to_title: Column, to_article: Column, mean_index: Column, probability: Column) -> Column:
     last = F.greatest(F.lit(1), total - 1)
     return 0.35 * size / total + 0.30 * (to_title + 1) / 2 + 0.20 * (to_article + 1) / 2 + 0.10 * (1 - mean_index / last) + 0.05 * probability

@@ -59,7 +59,7 @@ ORACLES: dict[str, str] = {
     "article_listing": f"WITH {ARTICLES} SELECT a.id, a.title, a.author, a.category, s.name FROM a JOIN sources s ON s.id = a.source_id WHERE s.domain = 'harborledger.example' ORDER BY a.created_at DESC NULLS LAST, a.id DESC LIMIT 25",
     "entity_listing": f"WITH {ENTITIES} SELECT id, name, entity_type, global_relevance FROM e WHERE article_count >= 5 AND entity_type IN ('PERSON', 'ORG') ORDER BY global_relevance DESC NULLS LAST, id LIMIT 30",
     "entity_search": f"WITH {ENTITIES} SELECT id, name, article_count FROM e WHERE contains(lower(name), 'banco')",
-    "entity_rank_position": f"WITH {ENTITIES} SELECT id, entity_type, rank() OVER (PARTITION BY entity_type ORDER BY global_relevance DESC) AS place, count(*) OVER (PARTITION BY entity_type) AS total FROM e WHERE global_relevance > 0",
+    "entity_rank_position": f"WITH {ENTITIES}, x AS (SELECT * FROM e WHERE global_relevance > 0 AND NOT isnan(global_relevance)) SELECT id, entity_type, (SELECT count(*) FROM x y WHERE y.global_relevance > x.global_relevance) + 1 AS place, (SELECT count(*) FROM x) AS total FROM x",
     "entity_type_counts": f"WITH {ENTITIES} SELECT entity_type, count(*) AS entities, sum(is_group)::BIGINT AS groups FROM e GROUP BY entity_type",
     "score_distribution": f"WITH {ENTITIES} SELECT entity_type, round(min(pagerank), 6) AS low, round(max(pagerank), 6) AS high, round(avg(pagerank), 6) AS mean, round(median(pagerank), 6) AS middle, round(stddev_pop(pagerank), 6) AS spread FROM e GROUP BY entity_type",
     "average_local_relevance": f"WITH {LINKS} SELECT entity_id, round(avg(coalesce(relevance, 0)) + 1e-9, 6) AS avg_local_relevance, count(*) AS articles FROM l GROUP BY entity_id",
@@ -74,11 +74,18 @@ ORACLES: dict[str, str] = {
     "minhash_signature": f"WITH {SIGNED} SELECT id, md5(array_to_string(sig, ',')) AS digest FROM y",
     "lsh_candidates": f"WITH {CANDIDATES} SELECT a, b, round(exact, 6) AS exact, round(estimate, 6) AS estimate FROM q",
     "lsh_best": f"WITH {CANDIDATES}, o AS (SELECT a AS id, b AS other, estimate FROM q UNION ALL SELECT b, a, estimate FROM q) SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY estimate DESC, other) AS place FROM o QUALIFY place <= 10",
-    "lsh_eval": f"WITH {CANDIDATES}, x AS (SELECT q.exact, (string_split(u.name, ' ')[-1] = string_split(v.name, ' ')[-1])::INTEGER AS t FROM q JOIN e u ON u.id = q.a JOIN e v ON v.id = q.b), h AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (exact >= threshold AND t = 1) AS tp, count(*) FILTER (exact >= threshold AND t = 0) AS fp, count(*) FILTER (exact < threshold AND t = 1) AS fn FROM x, h GROUP BY threshold), d AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS r FROM c) SELECT threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM d",
+    "lsh_eval": f"WITH {CANDIDATES}, z AS (SELECT u.id AS a, v.id AS b FROM e u JOIN e v ON u.entity_type = v.entity_type AND string_split(u.name, ' ')[-1] = string_split(v.name, ' ')[-1] AND u.id < v.id WHERE u.classified_as = 'canonical' AND v.classified_as = 'canonical'), x AS (SELECT coalesce(q.exact, -1) AS exact, (z.a IS NOT NULL)::INTEGER AS t FROM q FULL JOIN z ON z.a = q.a AND z.b = q.b), h AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (exact >= threshold AND t = 1) AS tp, count(*) FILTER (exact >= threshold AND t = 0) AS fp, count(*) FILTER (exact < threshold AND t = 1) AS fn FROM x, h GROUP BY threshold), d AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS r FROM c) SELECT threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM d",
     "doc_sentences": rf"WITH {ARTICLES}, x AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?m)^#+\s+.*$', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*[-*+][ \t]+', '', 'g') AS t FROM a WHERE content IS NOT NULL), u AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), lambda v: v <> '' AND len(string_split(v, ' ')) >= 5) AS s FROM x) SELECT id, unnest(range(0, len(s)))::INTEGER AS sentence_index, unnest(s) AS sentence_text FROM u",
     "category_rollup": f"WITH {ARTICLES}, x AS (SELECT {_category('category', 1)} AS category, coalesce({_category('category', 2)}, '-') AS subcategory FROM a WHERE category IS NOT NULL) SELECT coalesce(category, '*') AS category, coalesce(subcategory, '*') AS subcategory, count(*) AS articles, count(*) * 6 AS pairs FROM x GROUP BY ROLLUP (x.category, x.subcategory)",
-    "training_pairs": f"WITH {ARTICLES}, x AS (SELECT id, {_category('category', 1)} AS cat FROM a WHERE coalesce(title, '') <> '' AND category IS NOT NULL), y AS (SELECT id, lead(id) OVER (PARTITION BY cat ORDER BY sha256(id::VARCHAR)) AS b FROM x) SELECT id AS a, b, 0.7::DOUBLE AS label FROM y WHERE b IS NOT NULL UNION ALL SELECT id, id, 1.0::DOUBLE FROM x",
+    "training_pairs": f"""WITH {ARTICLES}, x AS (SELECT id, {_category('category', 1)} AS cat, coalesce({_category('category', 2)}, '-') AS sub FROM a WHERE coalesce(title, '') <> '' AND category IS NOT NULL),
+ s AS (SELECT *, row_number() OVER (PARTITION BY cat, sub ORDER BY sha256(id::VARCHAR), id) - 1 AS n, row_number() OVER (PARTITION BY cat ORDER BY sha256(id::VARCHAR), id) - 1 AS m, count(*) OVER (PARTITION BY cat, sub) AS size FROM x),
+ g AS (SELECT cat, sub, count(*) AS size, coalesce(lead(sub) OVER (PARTITION BY cat ORDER BY sub), min(sub) OVER (PARTITION BY cat)) AS other FROM x GROUP BY cat, sub), c AS (SELECT cat, count(*) AS size, coalesce(lead(cat) OVER (ORDER BY cat), min(cat) OVER ()) AS other FROM x GROUP BY cat)
+ SELECT u.id AS a, v.id AS b, 0.95::DOUBLE AS label FROM s u JOIN s v ON v.cat = u.cat AND v.sub = u.sub AND v.n = (u.n + 1) % u.size WHERE u.size >= 2
+ UNION ALL SELECT u.id, v.id, 0.7 FROM s u JOIN g ON g.cat = u.cat AND g.sub = u.sub AND g.other <> g.sub JOIN g o ON o.cat = g.cat AND o.sub = g.other JOIN s v ON v.cat = u.cat AND v.sub = g.other AND v.n = u.n % o.size WHERE u.size >= 2
+ UNION ALL SELECT u.id, v.id, 0.0 FROM s u JOIN c ON c.cat = u.cat AND c.other <> c.cat JOIN c o ON o.cat = c.other JOIN s v ON v.cat = c.other AND v.m = u.n % o.size WHERE u.size >= 2
+ UNION ALL SELECT id, id, 1.0 FROM s WHERE size >= 2""",
     "local_relevance": rf"WITH {ARTICLES}, {ENTITIES}, {LINKS}, x AS (SELECT l.article_id, l.entity_id, lower(e.name) AS n, l.mentions AS m, e.classified_as AS c, sum(l.mentions) OVER (PARTITION BY l.article_id) AS total FROM l JOIN e ON e.id = l.entity_id WHERE l.mentions IS NOT NULL), z AS (SELECT x.*, lower(a.title) AS title, lower(a.subtitle) AS subtitle, lower(regexp_replace(coalesce(a.content, ''), '\s+', ' ', 'g')) AS t FROM x JOIN a ON a.id = x.article_id), w AS (SELECT *, instr(t, n) AS i FROM z), b AS (SELECT article_id, entity_id, c, CASE WHEN total > 0 THEN m::DOUBLE / total * (1.0::DOUBLE + (CASE WHEN contains(title, n) THEN 0.5 ELSE 0 END)::DOUBLE + (CASE WHEN contains(subtitle, n) THEN 0.25 ELSE 0 END)::DOUBLE + (CASE WHEN i > 0 AND (i - 1)::DOUBLE / length(t) < 0.2 THEN 0.3 WHEN i > 0 AND (i - 1)::DOUBLE / length(t) < 0.4 THEN 0.15 ELSE 0 END)::DOUBLE + (CASE WHEN m > 3 THEN 0.1 * least(m - 3, 5) ELSE 0 END)::DOUBLE) ELSE 0 END AS base FROM w), k AS (SELECT *, max(CASE WHEN c = 'canonical' THEN base END) OVER (PARTITION BY article_id) AS top FROM b) SELECT article_id, entity_id, round(base, 6) AS base, round(CASE WHEN c <> 'canonical' THEN 0 ELSE base * CASE WHEN coalesce(top, 0) > 0 THEN 1.0 / top ELSE 1.0 END END, 6) AS local FROM k",
+    "relevance_transfers": rf"WITH {ARTICLES}, {REFS}, {LINKS}, x AS (SELECT l.article_id, l.entity_id, lower(e.name) AS n, l.mentions AS m, e.classified_as AS c, sum(l.mentions) OVER (PARTITION BY l.article_id) AS total FROM l JOIN e ON e.id = l.entity_id WHERE l.mentions IS NOT NULL), z AS (SELECT x.*, lower(a.title) AS title, lower(a.subtitle) AS subtitle, lower(regexp_replace(coalesce(a.content, ''), '\s+', ' ', 'g')) AS t FROM x JOIN a ON a.id = x.article_id), w1 AS (SELECT *, instr(t, n) AS i FROM z), b AS (SELECT article_id, entity_id, c, CASE WHEN total > 0 THEN m::DOUBLE / total * (1.0::DOUBLE + (CASE WHEN contains(title, n) THEN 0.5 ELSE 0 END)::DOUBLE + (CASE WHEN contains(subtitle, n) THEN 0.25 ELSE 0 END)::DOUBLE + (CASE WHEN i > 0 AND (i - 1)::DOUBLE / length(t) < 0.2 THEN 0.3 WHEN i > 0 AND (i - 1)::DOUBLE / length(t) < 0.4 THEN 0.15 ELSE 0 END)::DOUBLE + (CASE WHEN m > 3 THEN 0.1 * least(m - 3, 5) ELSE 0 END)::DOUBLE) ELSE 0 END AS base FROM w1), b2 AS (SELECT b.article_id, b.entity_id, b.base, w2.classified_as AS cc FROM b JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN 'alias' WHEN id % 7 = 0 THEN 'ambiguous' WHEN id % 13 = 0 THEN 'not_an_entity' ELSE 'canonical' END AS classified_as FROM e) w2 ON w2.id = b.entity_id), k AS (SELECT *, max(CASE WHEN cc = 'canonical' THEN base END) OVER (PARTITION BY article_id) AS top FROM b2), r AS (SELECT article_id, entity_id, cc, base * CASE WHEN coalesce(top, 0) > 0 THEN 1.0 / top ELSE 1.0 END AS raw FROM k), nn AS (SELECT entity_id, count(*) AS n FROM f GROUP BY entity_id), gv AS (SELECT r.article_id, f.canonical_id AS entity_id, r.raw / nn.n AS r FROM r JOIN f ON f.entity_id = r.entity_id JOIN nn ON nn.entity_id = r.entity_id WHERE r.cc <> 'canonical' AND EXISTS (SELECT 1 FROM r r2 WHERE r2.article_id = r.article_id AND r2.entity_id = f.canonical_id)) SELECT article_id, entity_id, round(sum(r), 5) AS relevance FROM (SELECT article_id, entity_id, CASE WHEN cc = 'canonical' THEN raw ELSE 0 END AS r FROM r UNION ALL SELECT * FROM gv) GROUP BY 1, 2",
     "flash_scores": f"WITH {FLASH} SELECT id, source_id, round(entity, 6) AS entity, round(freshness, 6) AS freshness, round(score, 6) AS score, tier FROM f",
     "tier_counts": f"WITH {FLASH} SELECT t.tier, count(f.id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS tier) t LEFT JOIN f ON f.tier = t.tier GROUP BY t.tier",
     "newsletter_selection": f"WITH {FLASH}, v AS (SELECT id, source_id AS source, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY round(score, 6) DESC, id) <= 2), g AS (SELECT *, CASE WHEN score >= 0.5 THEN 0 WHEN score >= 0.35 THEN 1 ELSE 2 END AS grp, row_number() OVER (PARTITION BY CASE WHEN score >= 0.5 THEN 0 WHEN score >= 0.35 THEN 1 ELSE 2 END ORDER BY score DESC, id) AS rn FROM v), n AS (SELECT count(*) FILTER (grp = 0) AS nc, count(*) FILTER (grp = 1) AS nn FROM g), o AS (SELECT g.* FROM g, n WHERE grp = 0 OR grp = 1 AND rn <= greatest(0, 8 - nc) OR grp = 2 AND rn <= greatest(0, 3 - nc - greatest(0, least(nn, 8 - nc)))) SELECT id, source, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM o",
@@ -98,5 +105,5 @@ ORACLES: dict[str, str] = {
  y AS (SELECT id, CASE WHEN hit IS NULL THEN 'kept' WHEN page IS NULL OR was IS NULL OR page <> was THEN 'reset' ELSE 'updated' END AS action, clusterized_at FROM x UNION ALL SELECT NULL, 'created', NULL FROM n WHERE hash NOT IN (SELECT hash FROM o) AND url NOT IN (SELECT url FROM o))
  SELECT action, count(*) AS articles, count(CASE WHEN action IN ('kept', 'updated') THEN clusterized_at END) AS still_enriched, count(id) AS known FROM y GROUP BY action""",
     "cluster_scores": "WITH v AS (SELECT vec_id, label, unnest(range(1, 65)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), al AS (SELECT k, avg(x) AS m FROM v GROUP BY k), ow AS (SELECT label, k, avg(x) AS m FROM v GROUP BY label, k), n AS (SELECT ow.label, sum(ow.m * al.m) / (sqrt(sum(ow.m * ow.m)) * sqrt(sum(al.m * al.m))) AS near FROM ow JOIN al USING (k) GROUP BY ow.label), z AS (SELECT label, count(*) AS size, avg(vec_id) AS place FROM embeddings GROUP BY label), t AS (SELECT count(*) AS total FROM embeddings), s AS (SELECT z.label, z.size, 0.35 * z.size / t.total + 0.30 * (near + 1) / 2 + 0.20 * (near + 1) / 2 + 0.10 * (1 - place / greatest(1, t.total - 1)) + 0.05 AS score FROM z JOIN n USING (label), t) SELECT label, size, round(score, 6) AS score, CASE WHEN label = -1 THEN CASE WHEN score < 0.35 THEN 'filler' ELSE 'secondary' END WHEN score >= 0.60 THEN 'core' WHEN score >= 0.30 THEN 'secondary' ELSE 'filler' END AS category FROM s",
-    "topic_diversity": "WITH v AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id <= 360), p AS (SELECT x.id, max(list_cosine_similarity(list_transform(x.embedding, lambda z: z::DOUBLE), list_transform(y.embedding, lambda z: z::DOUBLE))) AS near FROM v x JOIN v y ON x.id <> y.id GROUP BY x.id) SELECT id, round(CASE WHEN near < 0.3 THEN 1.0 ELSE 1.0 - near END, 6) AS diversity FROM p",
+    "topic_diversity": "WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda z: z::DOUBLE) AS x FROM embeddings), p AS (SELECT a.id, max(list_cosine_similarity(a.x, b.x)) AS near FROM v a JOIN v b ON a.id <> b.id AND b.id <= 24 * 60 GROUP BY a.id) SELECT v.id, round(CASE WHEN near IS NULL OR near < 0.3 THEN 1.0 ELSE 1.0 - near END, 6) AS diversity FROM v LEFT JOIN p ON p.id = v.id",
 }

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.vectors import cosine
-from lectern.operators import graph, ingest, resolution, scoring, selection, similarity, temporal
+from lectern.operators import graph, ingest, ranking, resolution, scoring, selection, similarity, temporal
 from lectern.plans import dates
-from lectern.runtime import load
+from lectern.runtime import load, staged
 from lectern.sources import views as V
 
 #: The moment that stands for now, so results do not depend on the day of the run.
@@ -84,10 +84,9 @@ def entity_search(s: SparkSession, d: str) -> DataFrame:
 
 
 def entity_rank_position(s: SparkSession, d: str) -> DataFrame:
-    """Competition rank within a type, so the window's groups are types of the ranked entities."""
-    e = V.entities(s, d).where(F.col("global_relevance") > 0)
-    by = Window.partitionBy("entity_type")
-    return e.select("id", "entity_type", F.rank().over(by.orderBy(F.desc("global_relevance"))).alias("place"), F.count(F.lit(1)).over(by).alias("total"))
+    """The competition rank of each entity with a relevance among all of them."""
+    e = V.entities(s, d).where((F.col("global_relevance") > 0) & ~F.isnan("global_relevance")).select("id", "entity_type", "global_relevance")
+    return ranking.competition_rank(e, "global_relevance").select("id", "entity_type", "place", "total")
 
 
 def entity_type_counts(s: SparkSession, d: str) -> DataFrame:
@@ -156,7 +155,8 @@ def name_shingles(s: SparkSession, d: str) -> DataFrame:
 
 def _signed(s: SparkSession, d: str) -> DataFrame:
     e = V.entities(s, d).where(F.col("classified_as") == "canonical").select("id", "name", F.col("entity_type").alias("type"))
-    return similarity.signed(e)
+    # The signatures are dear and read several times.
+    return staged(similarity.signed(e), "signatures")
 
 
 def minhash_signature(s: SparkSession, d: str) -> DataFrame:
@@ -206,16 +206,31 @@ def training_pairs(s: SparkSession, d: str) -> DataFrame:
     return selection.training_pairs(rows.select("id", c["category"].alias("cat"), F.coalesce(c["subcategory"], F.lit("-")).alias("sub")))
 
 
-def local_relevance(s: SparkSession, d: str) -> DataFrame:
+def _based(s: SparkSession, d: str) -> DataFrame:
+    """(article_id, entity_id, base, classified_as): the texts are flattened once an article, not once a mention."""
     e = V.entities(s, d).select(F.col("id").alias("entity_id"), "name", "classified_as")
     rows = V.links(s, d).where(F.col("mentions").isNotNull()).join(e, "entity_id")
-    total = F.sum("mentions").over(Window.partitionBy("article_id"))
+    named = rows.groupBy("article_id").agg(F.sum("mentions").alias("total"), F.collect_list(F.struct("entity_id", "name", "classified_as", "mentions")).alias("named"))
     a = V.articles(s, d, "title", "subtitle", "content").withColumnRenamed("id", "article_id")
-    base = scoring.entity_relevance(F.col("name"), F.col("mentions"), F.col("total"), F.col("title"), F.col("subtitle"), F.col("content"))
-    rows = rows.withColumn("total", total).join(a, "article_id").select("article_id", "entity_id", base.alias("base"), (F.col("classified_as") != "canonical").cast("int").alias("ignored"))
+    a = a.select("article_id", "title", "subtitle", F.lower(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")).alias("flat"))
+    each = named.join(a, "article_id").select("article_id", "total", "title", "subtitle", "flat", F.explode("named").alias("m")).select("article_id", "total", "title", "subtitle", "flat", "m.*")
+    base = scoring.entity_relevance(F.col("name"), F.col("mentions"), F.col("total"), F.col("title"), F.col("subtitle"), F.col("flat"))
+    return each.select("article_id", "entity_id", base.alias("base"), "classified_as")
+
+
+def local_relevance(s: SparkSession, d: str) -> DataFrame:
+    rows = _based(s, d).withColumn("ignored", (F.col("classified_as") != "canonical").cast("int"))
     return scoring.local_relevance(rows).select("article_id", "entity_id", r6("base").alias("base"), r6("local").alias("local"))
 
 
+def relevance_transfers(s: SparkSession, d: str) -> DataFrame:
+    """Local relevance after what ignored entities scored goes to their canonicals in the same article; the classes are those of the references."""
+    e, refs = _references(s, d)
+    rows = _based(s, d).drop("classified_as").join(e.withColumnRenamed("id", "entity_id"), "entity_id")
+    scored = rows.withColumn("ignored", (F.col("classified_as") != "canonical").cast("int"))
+    return scoring.with_transfers(scored, refs).select("article_id", "entity_id", F.round("relevance", 5).alias("relevance"))
+
+
 def flash_scores(s: SparkSession, d: str) -> DataFrame:
     """Articles as flash items: importance of their entities, freshness, quality, authority, and the tier of the sum."""
     e = V.entities(s, d).select(F.col("id").alias("entity_id"), "global_relevance")
@@ -349,7 +364,7 @@ QUERIES: dict = {
     **{f.__name__: f for f in (
         llm_analyze_by_task, llm_calls_by_hour, llm_calls_by_day, llm_usage_overview, sources_status, articles_without_entities, articles_to_enrich, article_listing, entity_listing, entity_search,
         entity_rank_position, entity_type_counts, score_distribution, average_local_relevance, top5_entities_per_article, shared_articles, cooccurrence_edges, transition_matrix, pagerank_k5, entity_metrics,
-        name_tokens, name_shingles, minhash_signature, lsh_candidates, lsh_best, lsh_eval, doc_sentences, plain_text_export, category_rollup, training_pairs, local_relevance, flash_scores, tier_counts,
+        name_tokens, name_shingles, minhash_signature, lsh_candidates, lsh_best, lsh_eval, doc_sentences, plain_text_export, category_rollup, training_pairs, local_relevance, relevance_transfers, flash_scores, tier_counts,
         newsletter_selection, cluster_scores, topic_diversity, members_active_at, membership_overlaps, classification_violations, alias_cascade, upsert_articles, redirect_follow, cache_domain_stats,
         cache_overview, corpus_stats, batch_rollup, uncompared_pairs,
     )},

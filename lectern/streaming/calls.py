@@ -20,10 +20,11 @@ def cache_merger(path: str):
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v{(number - 1) % 2}")
-        except Exception:  # noqa: BLE001 - the first batch has nothing before it
-            old = batch.limit(0)
+        before = f"{path}/v{(number - 1) % 2}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{before}/_SUCCESS")
+        # Only a version that was never written counts as empty; a read that fails stops the stream and leaves the cache as it is.
+        known = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        old = spark.read.parquet(before) if known else batch.limit(0)
         cache_upserted(old, batch.dropDuplicates(["url_hash"])).write.mode("overwrite").parquet(f"{path}/v{number % 2}")
 
     return merge

@@ -15,17 +15,18 @@ def norm(v):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_core_queries(spark):
-    from lectern.plans.oracles import ORACLES
-    from lectern.plans.queries import QUERIES
+    from lectern.plans import oracles, queries, upkeep, upkeep_sql
 
+    sql, known = {**oracles.ORACLES, **upkeep_sql.UPKEEP}, {**queries.QUERIES, **upkeep.QUERIES}
+    assert set(sql) <= set(known)
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
-    for name in ("llm_analyze_by_task", "sources_status", "top5_entities_per_article", "entity_metrics", "name_tokens", "lsh_candidates", "flash_scores", "newsletter_selection", "alias_cascade", "upsert_articles", "category_rollup", "redirect_follow"):
-        df = QUERIES[name](spark, DATA)
+    for name in sorted(sql):
+        df = known[name](spark, DATA)
         cols = sorted(df.columns)
         mine = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=str)
-        out = con.execute(ORACLES[name])
+        out = con.execute(sql[name])
         names = [d[0] for d in out.description]
         theirs = sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in out.fetchall()), key=str)
         assert mine == theirs, name
