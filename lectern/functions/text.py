@@ -59,17 +59,21 @@ def shingles(name: Column, n: int = 2) -> Column:
     return F.when(is_plural_initials(name), special).otherwise(char_ngrams(normalize_name(name), n))
 
 
+#: White space in classes that Java and RE2 read alike (fixed values).
+SPACES = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The rules that take Markdown's marks away and what they leave, in this order (fixed values). Inline code goes before fences, which it damages.
+PLAIN_RULES = (
+    (rf"(^|\n)#{{1,6}}[{SPACES}]+", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"\*\*([^*]+)\*\*", r"\1"), (r"__([^_]+)__", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"_([^_]+)_", r"\1"),
+    (rf"(^|\n)>[{SPACES}]+", r"\1"), (r"`([^`]+)`", r"\1"), (r"```[\s\S]*?```", ""), (r" +", " "), (r"\n{3,}", "\n\n"), (rf"^[{SPACES}]+|[{SPACES}]+$", ""),
+)
+
+
 def plain_text(markdown: Column) -> Column:
-    """Markdown without its marks; the rules run in this order."""
-    x = F.regexp_replace(markdown, r"(?m)^#{1,6}\s+", "")
-    x = F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    x = F.regexp_replace(F.regexp_replace(x, r"\*\*([^*]+)\*\*", "$1"), r"__([^_]+)__", "$1")
-    x = F.regexp_replace(F.regexp_replace(x, r"\*([^*]+)\*", "$1"), r"_([^_]+)_", "$1")
-    x = F.regexp_replace(x, r"(?m)^>\s+", "")
-    x = F.regexp_replace(x, r"`([^`]+)`", "$1")
-    x = F.regexp_replace(x, r"[ \t]+", " ")
-    x = F.regexp_replace(x, r"\n{3,}", "\n\n")
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Markdown without its marks, by ``PLAIN_RULES``; a null is an empty text."""
+    x = F.coalesce(markdown, F.lit(""))
+    for pattern, left in PLAIN_RULES:
+        x = F.regexp_replace(x, pattern.replace("$", r"\z"), left.replace("\\1", "$1"))
+    return x
 
 
 def split_category(x: Column) -> Column:

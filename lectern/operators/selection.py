@@ -56,3 +56,23 @@ def training_pairs(rows: DataFrame) -> DataFrame:
     none = own.join(apart, "cat").withColumn("at", F.col("n") % F.col("other_size")).join(from_cat, ["other", "at"])
     itself = own.withColumn("b", F.col("id"))
     return labelled(strong, 0.95).unionByName(labelled(medium, 0.7)).unionByName(labelled(none, 0.0)).unionByName(labelled(itself, 1.0))
+
+
+def ratio_pairs(rows: DataFrame, same_sub: int = 2, same_cat: int = 1, other_cat: int = 2) -> DataFrame:
+    """(a, b, label) of articles (id, cat, sub) with so many partners of each kind: 0.95 in the subcategory, 0.7 in the next subcategory, 0 in the next category, 1 with itself.
+
+    Small subcategories are not skipped; an article alone in its subcategory has no partner there. Partners follow in the order of a hash of the id and wrap round.
+    """
+    by = lambda *keys: Window.partitionBy(*keys).orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
+    wrapped = lambda name, within: F.coalesce(F.lead(name).over(within.orderBy(name)), F.min(name).over(within))
+    placed = rows.select("id", "cat", "sub", (F.row_number().over(by("cat", "sub")) - 1).alias("n"), (F.row_number().over(by("cat")) - 1).alias("m"), F.count(F.lit(1)).over(Window.partitionBy("cat", "sub")).alias("size"))
+    subs, cats = placed.groupBy("cat", "sub").agg(F.count(F.lit(1)).alias("k")), placed.groupBy("cat").agg(F.count(F.lit(1)).alias("k"))
+    beside = subs.select("cat", "sub", wrapped("sub", Window.partitionBy("cat")).alias("other")).where(F.col("sub") != F.col("other")).join(subs.select("cat", F.col("sub").alias("other"), "k"), ["cat", "other"])
+    apart = cats.select("cat", wrapped("cat", Window.partitionBy(F.lit(0))).alias("other")).where(F.col("cat") != F.col("other")).join(cats.select(F.col("cat").alias("other"), "k"), "other")
+    times = lambda x, n, at: x.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("at", at)
+    by_sub, by_cat = placed.select("cat", F.col("sub").alias("other"), F.col("n").alias("at"), F.col("id").alias("b")), placed.select(F.col("cat").alias("other"), F.col("m").alias("at"), F.col("id").alias("b"))
+    strong = times(placed.withColumnRenamed("sub", "other"), same_sub, (F.col("n") + F.col("j")) % F.col("size")).join(by_sub, ["cat", "other", "at"]).where(F.col("id") != F.col("b"))
+    medium = times(placed.join(beside, ["cat", "sub"]), same_cat, (F.col("n") + F.col("j")) % F.col("k")).join(by_sub, ["cat", "other", "at"])
+    none = times(placed.join(apart, "cat"), other_cat, (F.col("n") + F.col("j")) % F.col("k")).join(by_cat, ["other", "at"])
+    labelled = lambda x, label: x.select(F.col("id").alias("a"), "b", F.lit(label).alias("label"))
+    return labelled(strong, 0.95).unionByName(labelled(medium, 0.7)).unionByName(labelled(none, 0.0)).unionByName(labelled(placed.withColumn("b", F.col("id")), 1.0))

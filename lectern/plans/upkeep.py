@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.vectors import norm
-from lectern.operators import graph, ingest, resolution, scoring, similarity, upkeep
+from lectern.operators import graph, ingest, pipelines, resolution, scoring, selection, similarity, upkeep
 from lectern.plans import queries as Q
-from lectern.runtime import load
+from lectern.runtime import load, staged
 from lectern.sources import views as V
 
 r6 = Q.r6
@@ -347,9 +349,59 @@ def cluster_boost(s: SparkSession, d: str) -> DataFrame:
     return named.join(texts, "article_id").select("article_id", "entity_id", scoring.cluster_boost(F.col("name"), F.col("core"), F.col("secondary")).alias("boost"))
 
 
+def _site_pages(s: SparkSession, d: str) -> DataFrame:
+    """The cache with pages in the known layout: the title as heading, the rest as the body; every tenth page has no title."""
+    cache = V.url_cache(s, d).dropDuplicates(["url"])
+    a = V.articles(s, d, "url", "title").where(F.col("url").isNotNull()).select("url", F.when(F.col("id") % 10 != 0, F.concat(F.lit("T"), F.col("id").cast("string"))).alias("h")).dropDuplicates(["url"])
+    page = F.concat(F.lit("<html><body>"), F.coalesce(F.concat(F.lit("<h1>"), F.col("h"), F.lit("</h1>")), F.lit("")), F.lit("<div class='detail-body'><p>Text.</p></div><script>x</script></body></html>"))
+    return cache.join(a, "url").withColumn("content", F.when(F.col("status_code") == 200, page).otherwise(F.col("content"))).drop("h")
+
+
+def cached_reingest(s: SparkSession, d: str) -> DataFrame:
+    """The cached pages taken in beside the even articles; only three sites have an extractor."""
+    old = V.articles(s, d, "hash", "url", "title", "cleaned_html_hash", "clusterized_at").where((F.col("id") % 2 == 0) & F.col("url").isNotNull())
+    domains = [r.domain for r in load(s, d, "sources").select("domain").distinct().orderBy("domain").limit(12).collect()]
+    named = {x: "default" for d2 in domains for x in (d2, f"www.{d2}")}
+    return pipelines.reingested(_site_pages(s, d), old, named)[1]
+
+
+def ratio_training_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Two partners in the subcategory, one in the next one, two in the next category, and the own body."""
+    c = T.split_category(F.col("category"))
+    rows = V.articles(s, d, "title", "category").where((F.coalesce("title", F.lit("")) != "") & F.col("category").isNotNull())
+    return selection.ratio_pairs(rows.select("id", c["category"].alias("cat"), F.coalesce(c["subcategory"], F.lit("-")).alias("sub")))
+
+
+def lsh_grid(s: SparkSession, d: str) -> DataFrame:
+    """Hits, false pairs and misses at a similarity of 0.3 for several numbers of bands; those that do not divide the signature are left out."""
+    sig, true = Q._signed(s, d), staged(_truth(s, d), "true-pairs")
+    out = []
+    for bands in (10, 12, 25, 50):
+        if similarity.HASHES % bands:
+            continue
+        rows = sig.select("id", "type", F.posexplode(similarity.bands(F.col("signature"), bands)).alias("band", "key"))
+        pairs = rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), ["type", "band", "key"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+        side = lambda n: sig.select(F.col("id").alias(n), F.col("grams").alias(f"g{n}"))
+        exact = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity.jaccard(F.col("ga"), F.col("gb")).alias("exact"))
+        out.append(similarity.evaluation(exact, true, [0.3]).select(F.lit(bands).alias("bands"), "tp", "fp", "fn"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def corpus_overview(s: SparkSession, d: str) -> DataFrame:
+    """The corpus in figures: all articles, those of each source, and the first and last times."""
+    a = V.articles(s, d, "source_id").join(load(s, d, "sources").select(F.col("id").alias("source_id"), "domain"), "source_id", "left")
+    one = lambda part, key, value: F.struct(F.lit(part).alias("part"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    stamp = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    whole = a.agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    figures = whole.select(F.explode(F.array(one("all", F.lit("articles"), F.col("n")), one("time", F.lit("first"), stamp("first")), one("time", F.lit("last"), stamp("last")))).alias("x")).select("x.*")
+    by_source = a.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).select(F.lit("source").alias("part"), F.col("domain").alias("key"), F.col("n").cast("string").alias("value"))
+    return figures.unionByName(by_source)
+
+
 QUERIES: dict = {f.__name__: f for f in (
     entity_by_name, article_previews, training_texts, call_durations, entity_context, article_tags, tags_created, sources_created, text_mentions, cluster_stats, run_averages, longest_names, top_ranked,
     newest_articles, work_selection, bench_grams, bench_words, band_collisions, lsh_errors, lsh_thresholds, best_comparison, comparison_outcomes, time_weighted_edges, rank_run_statistics, pagerank_converged,
     rank_write_back, publication_report, publish_guard, scoring_modes, rerank_queue, ambiguous_cascade, not_entity_refs, canonical_requests, group_violations, corpus_upsert, call_log_appended, cache_prefix,
     cache_upsert, cache_cleared, links_ignored, links_replaced, articles_deleted, position_feature, vector_lengths, flash_sources, cluster_boost,
+    cached_reingest, ratio_training_pairs, lsh_grid, corpus_overview,
 )}

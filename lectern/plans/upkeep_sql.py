@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.functions.text import BENCH_STOPWORDS
-from lectern.plans.oracles import ARTICLES, CACHE, CALLS, CANDIDATES, ENTITIES, FLASH, LINKS, MEMBERS, MOVES, ORACLES, RANKED, REFS, _category, _pagerank
+from lectern.functions.text import BENCH_STOPWORDS, PLAIN_RULES
+from lectern.plans.oracles import ARTICLES, CACHE, CALLS, CANDIDATES, ENTITIES, FLASH, LINKS, MEMBERS, MOVES, ORACLES, RANKED, REFS, SIGNED, _category, _pagerank
 
 _TRUTH = "v AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.entity_type = y.entity_type AND string_split(x.name, ' ')[-1] = string_split(y.name, ' ')[-1] AND x.id < y.id WHERE x.classified_as = 'canonical' AND y.classified_as = 'canonical')"
 _STOPS = ", ".join(f"'{w}'" for w in BENCH_STOPWORDS)
 _BENCH = rf"n AS (SELECT id, trim(regexp_replace(array_to_string(list_filter(string_split_regex(translate(lower(name), 'áéíóúñüàèìòùâêîôûãõç', 'aeiounuaeiouaeiouaoc'), '\s+'), lambda w: w <> '' AND w NOT IN ({_STOPS})), ' '), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g')) AS x FROM e)"
 _CLUSTERS = ORACLES["cluster_scores"]
+_PLAIN = "coalesce(content, '')"
+for _pattern, _left in PLAIN_RULES:
+    _PLAIN = "regexp_replace({}, '{}', {}, 'g')".format(_PLAIN, _pattern, "chr(10) || chr(10)" if "\n" in _left else f"'{_left}'")
 _LOWER = ORACLES["doc_sentences"].replace("regexp_replace(content,", "regexp_replace(lower(content),")
 _SCORE = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
 _HEADS = "hh AS (SELECT entity_type, list_sort(list(DISTINCT id)) AS ids FROM e WHERE id % 5 <> 0 AND id % 7 <> 0 GROUP BY entity_type)"
@@ -52,6 +55,19 @@ UPKEEP: dict[str, str] = {
     "cache_prefix": f"WITH {CACHE} SELECT DISTINCT url_hash, url FROM k WHERE substring(url_hash, 1, 10) IN (SELECT substring(h, 1, 10) FROM (SELECT DISTINCT url_hash AS h FROM k ORDER BY 1 LIMIT 3))",
     "cache_upsert": f"WITH {CACHE} SELECT status_code, count(*) AS pages, sum(CASE WHEN status_code = 200 THEN 5 ELSE length(content) END)::BIGINT AS size, max(created_at) AS newest FROM k GROUP BY status_code",
     "cluster_boost": f"WITH {ENTITIES}, {LINKS}, d AS ({_LOWER}), t AS (SELECT id, string_agg(sentence_text, chr(10)) FILTER (sentence_index < 2) AS core, string_agg(sentence_text, chr(10)) FILTER (sentence_index BETWEEN 2 AND 4) AS secondary FROM d GROUP BY id) SELECT l.article_id, l.entity_id, CASE WHEN contains(t.core, lower(e.name)) THEN 1.3 WHEN contains(t.secondary, lower(e.name)) THEN 1.0 ELSE 0.7 END::DOUBLE AS boost FROM l JOIN e ON e.id = l.entity_id JOIN articles x ON x.id = l.article_id AND x.content IS NOT NULL LEFT JOIN t ON t.id = l.article_id GROUP BY ALL",
+    "cached_reingest": rf"""WITH {ARTICLES}, k0 AS (SELECT DISTINCT ON (url) id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM a WHERE url IS NOT NULL), s AS (SELECT DISTINCT domain FROM sources ORDER BY domain LIMIT 12),
+ o AS (SELECT url, hash FROM a WHERE id % 2 = 0 AND url IS NOT NULL), p AS (SELECT k0.*, (url IN (SELECT url FROM o) OR sha256(url) IN (SELECT hash FROM o WHERE hash IS NOT NULL)) AS known, (domain IN (SELECT domain FROM s) OR domain IN (SELECT 'www.' || domain FROM s)) AS taken FROM k0 WHERE id % 7 <> 0)
+ SELECT 'created' AS status, count(*) FILTER (NOT known AND taken AND id % 10 <> 0) AS pages FROM p UNION ALL SELECT 'updated', 0 FROM (SELECT 1) UNION ALL SELECT 'error', count(*) FILTER (NOT known AND (NOT taken OR id % 10 = 0)) FROM p UNION ALL SELECT 'skipped', count(*) FILTER (known) FROM p""",
+    "ratio_training_pairs": f"""WITH {ARTICLES}, x AS (SELECT id, {_category('category', 1)} AS cat, coalesce({_category('category', 2)}, '-') AS sub FROM a WHERE coalesce(title, '') <> '' AND category IS NOT NULL),
+ s AS (SELECT *, row_number() OVER (PARTITION BY cat, sub ORDER BY sha256(id::VARCHAR), id) - 1 AS n, row_number() OVER (PARTITION BY cat ORDER BY sha256(id::VARCHAR), id) - 1 AS m, count(*) OVER (PARTITION BY cat, sub) AS size FROM x),
+ g AS (SELECT cat, sub, count(*) AS size, coalesce(lead(sub) OVER (PARTITION BY cat ORDER BY sub), min(sub) OVER (PARTITION BY cat)) AS other FROM x GROUP BY cat, sub), c AS (SELECT cat, count(*) AS size, coalesce(lead(cat) OVER (ORDER BY cat), min(cat) OVER ()) AS other FROM x GROUP BY cat)
+ SELECT u.id AS a, v.id AS b, 0.95::DOUBLE AS label FROM s u, (VALUES (1), (2)) j(j), s v WHERE v.cat = u.cat AND v.sub = u.sub AND v.n = (u.n + j.j) % u.size AND u.id <> v.id
+ UNION ALL SELECT u.id, v.id, 0.7 FROM s u JOIN g ON g.cat = u.cat AND g.sub = u.sub AND g.other <> g.sub JOIN g o ON o.cat = g.cat AND o.sub = g.other JOIN s v ON v.cat = u.cat AND v.sub = g.other AND v.n = (u.n + 1) % o.size
+ UNION ALL SELECT u.id, v.id, 0.0 FROM s u JOIN c ON c.cat = u.cat AND c.other <> c.cat JOIN c o ON o.cat = c.other, (VALUES (1), (2)) j(j), s v WHERE v.cat = c.other AND v.m = (u.n + j.j) % o.size
+ UNION ALL SELECT id, id, 1.0 FROM s""",
+    "lsh_grid": f"WITH {SIGNED}, {_TRUTH}, w(bands) AS (VALUES (10), (25), (50)), b AS (SELECT w.bands, id, type, k, array_to_string(sig[k * (50 // w.bands) + 1 : (k + 1) * (50 // w.bands)], '|') AS key FROM y, w, range(0, 50) t(k) WHERE k < w.bands), p AS (SELECT DISTINCT x.bands, x.id AS a, z.id AS b FROM b x JOIN b z ON x.bands = z.bands AND x.type = z.type AND x.k = z.k AND x.key = z.key AND x.id < z.id), q AS (SELECT p.bands, p.a, p.b, len(list_intersect(u.grams, o.grams))::DOUBLE / (len(u.grams) + len(o.grams) - len(list_intersect(u.grams, o.grams))) AS exact FROM p JOIN y u ON u.id = p.a JOIN y o ON o.id = p.b), f AS (SELECT * FROM q WHERE exact >= 0.3), x AS (SELECT w.bands, v.a, v.b FROM w, v), j AS (SELECT coalesce(x.bands, f.bands) AS bands, x.a IS NOT NULL AS t, f.a IS NOT NULL AS hit FROM x FULL JOIN f ON f.bands = x.bands AND f.a = x.a AND f.b = x.b) SELECT bands, count(*) FILTER (t AND hit) AS tp, count(*) FILTER (NOT t) AS fp, count(*) FILTER (t AND NOT hit) AS fn FROM j GROUP BY bands",
+    "corpus_overview": f"WITH {ARTICLES} SELECT 'all' AS part, 'articles' AS key, count(*)::VARCHAR AS value FROM a UNION ALL SELECT 'time', 'first', strftime(min(created_at), '%Y-%m-%d %H:%M:%S') FROM a UNION ALL SELECT 'time', 'last', strftime(max(created_at), '%Y-%m-%d %H:%M:%S') FROM a UNION ALL SELECT 'source', s.domain, count(*)::VARCHAR FROM a LEFT JOIN sources s ON s.id = a.source_id GROUP BY s.domain",
+    "plain_text_export": f"WITH {ARTICLES} SELECT hash, title, {_PLAIN} AS body, s.domain, s.name, {_category('category', 1)} AS category, {_category('category', 2)} AS subcategory, strftime(a.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM a JOIN sources s ON s.id = a.source_id",
     "cache_cleared": f"WITH {CACHE} SELECT count(*) AS before, count(*) FILTER (NOT contains(domain, 'harborledger')) AS after FROM k",
     "links_ignored": f"WITH {LINKS} SELECT entity_id, count(*) AS articles FROM l GROUP BY entity_id",
     "links_replaced": f"WITH {LINKS} SELECT article_id, entity_id FROM l WHERE article_id % 3 <> 0 UNION ALL SELECT article_id, min(entity_id) FROM l WHERE article_id % 3 = 0 GROUP BY article_id",
