@@ -48,7 +48,7 @@ OPENING = re.compile(f"({WORD})(?:\\s*{WORD})?")
 MARKED = re.compile("[#]+\\s|>")
 LISTED, POINTS, ENDED, NUMBERS = re.compile(LIST_ITEM), re.compile(POINTER), re.compile(CLOSED), re.compile(r"\d+")
 KINDS = ("p", "l", "n", "m")
-LINES = "array<struct<no:int,h:long,front:int,back:int,first:int,two:int,kind:string,open:boolean,fresh:int{}>>"
+LINES = "array<struct<no:int,h:long,front:int,back:int,first:int,two:int,kind:string,open:boolean,fresh:int>>"
 
 
 def squeezed(line: str) -> str:
@@ -83,13 +83,13 @@ def line_role(line: str) -> tuple[tuple, tuple]:
 SHORT, KEPT = 120, 100_000
 
 
-def line_roles(contents: list[str | None], with_text: bool, known: dict[str, tuple]) -> pa.ListArray:
+def line_roles(contents: list[str | None], known: dict[str, tuple]) -> pa.ListArray:
     """The non-blank lines of each content with their numbers, roles and what is fresh in them.
 
     ``fresh`` has a bit for each token that no line before has on the page: 1 the line, 2 its first word and 4 its first two words (open and
     closed lines apart), 8 its front half, 16 its back half, 32 the line as one that list items follow.
     """
-    numbers, roles, texts, fresh, ends = [], [], [], [], [0]
+    numbers, roles, fresh, ends = [], [], [], [0]
     for content in contents:
         seen: set[tuple] = set()
         for k, line in enumerate((content or "").split("\n"), 1):
@@ -115,30 +115,28 @@ def line_roles(contents: list[str | None], with_text: bool, known: dict[str, tup
             fresh.append(bits)
             numbers.append(k)
             roles.append(role)
-            if with_text:
-                texts.append(line)
         ends.append(len(numbers))
     h, *short, kind, opened = zip(*roles) if roles else ((),) * 7
     kinds = pa.DictionaryArray.from_arrays(pa.array(kind, pa.int8()), pa.array(KINDS)).cast(pa.string())
     fields = {"no": pa.array(numbers, pa.int32()), "h": pa.array(np.array(h, dtype=np.uint64).view(np.int64))}
     fields |= {c: pa.array(np.array(x, dtype=np.uint32).view(np.int32)) for c, x in zip(("front", "back", "first", "two"), short)}
-    fields |= {"kind": kinds, "open": pa.array(opened, pa.bool_()), "fresh": pa.array(fresh, pa.int32())} | ({"text": pa.array(texts, pa.string())} if with_text else {})
+    fields |= {"kind": kinds, "open": pa.array(opened, pa.bool_()), "fresh": pa.array(fresh, pa.int32())}
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
-def pages(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """(id, site, told, *keep, lines) with the roles of the lines, and their texts if asked; ``told`` if there is a content."""
-    sited = with_site(articles.where(F.col("id").isNotNull()).select("id", "source_id", "source_domain", "content", *keep), sources)
-    rows = sited.select(F.col("id").cast("long"), "site", F.col("content").isNotNull().alias("told"), *(F.col(c).cast("string") for c in keep), F.col("content").cast("string"))
+def pages(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, site, told, *keep, lines) with the roles of the lines; ``told`` if there is a content, which may be kept too."""
+    others = tuple(c for c in keep if c != "content")
+    sited = with_site(articles.where(F.col("id").isNotNull()).select("id", "source_id", "source_domain", "content", *others), sources)
+    rows = sited.select(F.col("id").cast("long"), "site", F.col("content").isNotNull().alias("told"), *(F.col(c).cast("string") for c in (*others, "content")))
+    kept = ["id", "site", "told", *keep]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for batch in batches:
-            columns = {c: batch.column(c) for c in batch.schema.names if c != "content"}
-            yield pa.RecordBatch.from_pydict({**columns, "lines": line_roles(batch.column("content").to_pylist(), with_text, known)})
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in kept}, "lines": line_roles(batch.column("content").to_pylist(), known)})
 
-    kept = "".join(f", {c} string" for c in keep)
-    return rows.mapInArrow(over, f"id long, site string, told boolean{kept}, lines {LINES.format(',text:string' if with_text else '')}")
+    return rows.mapInArrow(over, f"id long, site string, told boolean{''.join(f', {c} string' for c in keep)}, lines {LINES}")
 
 
 def _tokens(of: DataFrame, *kinds: tuple[str, int | Column, Column, Column]) -> DataFrame:
@@ -219,17 +217,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("id", F.explode(F.transform(gone, lambda l: l["no"])).alias("line_no"))
 
 
-def stories(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, body): the story of each article with content, its lines joined by line feeds.
+def marked_pages(articles: DataFrame, sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, content, codes) of each article with content. Texts stay in their rows: only the site templates travel to them. Repeated rows are not merged here."""
+    of = staged(pages(articles, sources, (*keep, "content")), "page-lines")
+    tokens = staged(template(one_row_each(of.select("id", "site", "lines"), "id")), "site-templates")
+    return furniture_codes(of.where("told"), tokens).select("id", *keep, "content", "codes")
 
-    The texts are cut into lines once and stay in their rows: only the site templates travel to them. Repeated
-    rows are not merged here.
-    """
-    of = staged(pages(articles, sources, keep, True), "page-lines")
-    light = one_row_each(of, "id").select("id", "site", F.transform("lines", lambda l: l.dropFields("text")).alias("lines"))
-    marked = furniture_codes(of.where("told"), staged(template(light), "site-templates"))
-    body = once(F.col("codes"), lambda codes: F.array_join(F.transform(F.filter("lines", lambda l, i: is_story(codes, i)), lambda l: l["text"]), "\n"))
-    return marked.select("id", *keep, body.alias("body"))
+
+def story(content: str, codes: str) -> str:
+    """The lines of a content that are no furniture, without surrounding blanks, joined by line feeds."""
+    lines = filter(None, (line.strip(BLANKS) for line in content.split("\n")))
+    return "\n".join(line for line, code in zip(lines, codes) if code in "lb")
+
+
+def stories(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, body): the story of each article with content."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = [story(c, k) for c, k in zip(batch.column("content").to_pylist(), batch.column("codes").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "body": pa.array(body, pa.string())})
+
+    return marked_pages(articles, sources).mapInArrow(over, "id long, body string")
 
 
 def p5_stories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.boilerplate import stories
+from lectern.llm.boilerplate import marked_pages, story
 from lectern.llm.components import components
 from lectern.runtime import load, release, staged
 
