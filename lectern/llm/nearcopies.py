@@ -116,18 +116,18 @@ def sketch_bits(runs: np.ndarray, text: np.ndarray, band: np.ndarray) -> np.ndar
 
 
 #: home and guest: signatures in the own and the next band; few: all runs of a small set; bits: the sketches of both bands.
-SKETCH = "id long, size int, same long, home array<long>, guest array<long>, few array<long>, bits array<long>"
+SKETCH = "id long, size int, same long, text string, home array<long>, guest array<long>, few array<long>, bits array<long>"
 #: Texts that are sketched at once.
 TOGETHER = 500
 
 
 def sketch_batch(keys: list[int], texts: list[str], letters: np.ndarray) -> pa.RecordBatch | None:
     """The rows of ``SKETCH`` of the texts that have runs."""
-    kept = [(k, runs) for k, t in zip(keys, texts) if len(runs := run_hashes(comparable(t, letters)))]
+    kept = [(k, codes, runs) for k, t in zip(keys, texts) if len(runs := run_hashes(codes := comparable(t, letters)))]
     if not kept:
         return None
-    sizes = np.array([len(r) for _, r in kept])
-    runs, text = np.concatenate([r for _, r in kept]), np.repeat(np.arange(len(kept)), sizes)
+    sizes = np.array([len(r) for _, _, r in kept])
+    runs, text = np.concatenate([r for *_, r in kept]), np.repeat(np.arange(len(kept)), sizes)
     band = np.frexp(sizes.astype(np.float64))[1] - 1
     same = mixed(np.add.reduceat(runs, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
 
@@ -135,7 +135,10 @@ def sketch_batch(keys: list[int], texts: list[str], letters: np.ndarray) -> pa.R
         ends = np.cumsum(np.bincount(of, minlength=len(kept)))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[np.argsort(of, kind="stable")].view(np.int64)))
 
-    found = {"id": pa.array([k for k, _ in kept], pa.int64()), "size": pa.array(sizes, pa.int32()), "same": pa.array(same.view(np.int64))}
+    found = {
+        "id": pa.array([k for k, *_ in kept], pa.int64()), "size": pa.array(sizes, pa.int32()), "same": pa.array(same.view(np.int64)),
+        "text": pa.array([c.tobytes().decode("utf-32-le", "surrogatepass") for _, c, _ in kept], pa.string()),
+    }
     for name, more, least in (("home", 0, TINY), ("guest", 1, TINY // 2)):
         own = sizes[text] >= least
         found[name] = lists(*band_signatures(runs[own], text[own], band + more))
@@ -150,20 +153,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = letter_table()
     for batch in batches:
         for at in range(0, batch.num_rows, TOGETHER):
-            made = sketch_batch(*(batch.column(c).slice(at, TOGETHER).to_pylist() for c in ("id", "text")), letters)
+            keys, titles, contents, codes = (batch.column(c).slice(at, TOGETHER).to_pylist() for c in ("id", "title", "content", "codes"))
+            made = sketch_batch(keys, [f"{t or ''} {story(c, k)}" for t, c, k in zip(titles, contents, codes)], letters)
             if made is not None:
                 yield made
 
 
-def told_texts(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, text): title and story of every article with content."""
-    told = stories(articles.where(F.trim("content") != ""), sources, ("title",))
-    return told.select("id", F.concat_ws(" ", "title", "body").alias("text"))
-
-
-def sketches(told: DataFrame) -> DataFrame:
-    """``SKETCH`` of every text (id, text); equal sets have equal ``same``."""
-    return told.mapInArrow(_sketched, SKETCH)
+def sketches(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """``SKETCH`` of every article with content; equal sets have equal ``same``."""
+    told = marked_pages(articles.where(F.trim("content") != ""), sources, ("title",))
+    made = staged(told.mapInArrow(_sketched, SKETCH), "sketches")
+    release(told)
+    return made
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -235,7 +236,6 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(a, b, similarity) of the asked pairs of each cell that are similar, on the sets of all their runs."""
-    letters = letter_table()
     for pdf in _whole_cells(batches):
         out, here, runs = [], None, {}
         rows = [*zip(pdf["cell"].tolist(), pdf["id"].tolist(), pdf["text"].tolist(), pdf["partners"])]
@@ -245,7 +245,7 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for n, (cell, a, text, partners) in enumerate(rows):
             if cell != here:
                 here = cell
-                runs = {k: run_hashes(comparable(t, letters)) for _, k, t, _ in rows[n : ends[cell]]}
+                runs = {k: run_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)) for _, k, t, _ in rows[n : ends[cell]]}
             for b in partners:
                 p, q = runs[a], runs[int(b)]
                 both = len(np.intersect1d(p, q, assume_unique=True))
@@ -255,32 +255,29 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
 
-def verified(pairs: DataFrame, told: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b, cell) that are similar; a cell's texts travel once each."""
     asked = pairs.select("cell", F.col("a").alias("id"), F.col("b").alias("partner"))
     asked = asked.unionByName(pairs.select("cell", F.col("b").alias("id"), F.lit(None).cast("long").alias("partner")))
     asked = asked.groupBy("cell", "id").agg(F.collect_list("partner").alias("partners"))  # at most the sets of a cell
-    texts = told.select("id", "text").join(asked.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = sketch.select("id", "text").join(asked.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     return asked.join(texts, "id").repartition("cell").sortWithinPartitions("cell").select("cell", "id", "text", "partners").mapInPandas(_similar, "a long, b long, similarity double")
 
 
-def links(sketch: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs): (id, rep) of every text with the first id of its class of equal sets, and (a, b, similarity) between those first ids."""
     firsts = sketch.groupBy("same").agg(F.min("id").alias("rep"))
     classes = sketch.select("id", "same").distinct().join(firsts, "same").select("id", "rep")
     # Signatures stay where they are: only the ids of the copies, mostly few, travel to them.
     copies = classes.where(F.col("id") != F.col("rep")).select("id")
-    sets = sketch.drop("same").join(copies, "id", "left_anti")
-    return classes, verified(staged(candidates(sets), "candidates"), told)
+    sets = sketch.drop("text", "same").join(copies, "id", "left_anti")
+    return classes, verified(staged(candidates(sets), "candidates"), sketch)
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    told = told_texts(load(spark, sf_dir, "articles"), load(spark, sf_dir, "sources"))
-    sketch = staged(sketches(told), "sketches")
-    classes, pairs = links(sketch, told)
-    found = staged(classes, "classes"), staged(pairs, "similar")
-    release(told, sketch)
-    return found
+    articles, sources = load(spark, sf_dir, "articles"), load(spark, sf_dir, "sources")
+    classes, pairs = links(sketches(articles, sources))
+    return staged(classes, "classes"), staged(pairs, "similar")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

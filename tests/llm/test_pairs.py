@@ -73,10 +73,10 @@ def test_names(spark):
 
 def linked(spark, rows):
     """(classes, pairs, the comparable texts) of (id, text) rows."""
-    told = spark.createDataFrame(rows, "id long, text string")
-    letters = nearcopies.letter_table()
-    clean = {i: nearcopies.comparable(t, letters).tobytes().decode("utf-32-le") for i, t in rows}
-    return *nearcopies.links(nearcopies.sketches(told), told), {i: t for i, t in clean.items() if len(t) >= nearcopies.RUN}
+    keys, texts = map(list, zip(*rows))
+    made = nearcopies.sketch_batch(keys, texts, nearcopies.letter_table()).to_pylist()
+    sketch = spark.createDataFrame([tuple(r.values()) for r in made], nearcopies.SKETCH)
+    return *nearcopies.links(sketch), {r["id"]: r["text"] for r in made}
 
 
 def jaccard(x, y):
@@ -101,8 +101,7 @@ def test_near_copies(spark, monkeypatch):
     want = {(a, b) for a, b in itertools.combinations(sorted(set(rep.values())), 2) if jaccard(clean[a], clean[b]) >= 0.5}
     assert got <= want and len(got) >= 0.9 * len(want) and want
     assert rep[65] == rep[66] == rep[0] == 0 and 67 not in rep
-    none = spark.createDataFrame([], "id long, text string")
-    assert nearcopies.links(nearcopies.sketches(none), none)[1].count() == 0
+    assert nearcopies.links(spark.createDataFrame([], nearcopies.SKETCH))[1].count() == 0
 
 
 def test_groups_of_near_copies(spark):
