@@ -117,7 +117,7 @@ def learn(articles: DataFrame) -> DataFrame:
     """(lang, kind, type): the significant types of each language from (lang, content).
 
     Kinds: abbr an abbreviation that sentences go on after, title one that a name follows, end an abbreviation
-    that may close a sentence, number a word that follows ordinal numbers, start a sentence starter.
+    that may close a sentence, never a language without periods at the end of sentences, number a word that follows ordinal numbers, start a sentence starter.
     """
     counts = articles.mapInPandas(_count, "lang string, kind string, type string, n long")
     by_type = staged(counts.groupBy("lang", "type").pivot("kind", ["w", "u", "l", "c", "e", "f", "a", "s"]).agg(F.sum("n")).fillna(0), "type-counts")
@@ -126,7 +126,7 @@ def learn(articles: DataFrame) -> DataFrame:
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, never = [], set()
             for r in pdf.itertuples(index=False):
                 all_words = r.all_w + r.all_u + 1
                 seen = r.w + r.u
@@ -141,17 +141,19 @@ def learn(articles: DataFrame) -> DataFrame:
                             out.append((r.lang, "end", r.type))
                         if r.c >= 0.05 * r.w:
                             out.append((r.lang, "goes", r.type))
-                    elif bound and away and r.f >= 0.02 * r.w or r.all_e < 0.02 * r.all_w:
-                        # Also every type of a language whose sentences end with another mark than the period.
+                    elif bound and away and r.f >= 0.02 * r.w:
                         out.append((r.lang, "title", r.type))
+                if r.all_e < 0.02 * r.all_w:
+                    # One row says it of all types of a language whose sentences end with another mark than the period.
+                    never.add((r.lang, "never", "*"))
                 if r.a >= MIN_SEEN and ratio(r.a, max(seen, r.a), (r.all_a + 1) / all_words, r.a / max(seen, r.a)) >= SIGNIFICANT and r.a >= 0.3 * seen:
                     out.append((r.lang, "number", r.type))
                 if r.s >= MIN_SEEN and ratio(r.s, max(seen, r.s), (r.all_s + 1) / all_words, r.s / max(seen, r.s)) >= SIGNIFICANT and r.s >= 0.3 * seen:
                     out.append((r.lang, "start", r.type))
-            if out:
-                yield pd.DataFrame(out, columns=["lang", "kind", "type"])
+            if out or never:
+                yield pd.DataFrame(out + sorted(never), columns=["lang", "kind", "type"])
 
-    return wide.join(totals, "lang").mapInPandas(decide, "lang string, kind string, type string")
+    return wide.join(totals, "lang").mapInPandas(decide, "lang string, kind string, type string").distinct()
 
 
 STOP = re.compile(r"[.…]+|[!?！？؟]+|[。｡।॥]+")
@@ -239,7 +241,7 @@ def _period_ends(line: str, i: int, rest: str, nxt: str, follow: int, model: dic
         return word not in model["number"]
     if t in model["end"]:
         return not nxt.isdigit()
-    if t in model["title"]:
+    if t in model["title"] or model["never"]:
         return False
     if t in model["abbr"]:
         return not nxt.isdigit() and word in model["start"] and t in model["goes"]
@@ -247,7 +249,7 @@ def _period_ends(line: str, i: int, rest: str, nxt: str, follow: int, model: dic
     return not (len(bare) == 1 and bare.isalpha())
 
 
-KINDS = ("abbr", "goes", "title", "end", "number", "start")
+KINDS = ("abbr", "goes", "title", "end", "number", "start", "never")
 
 
 def units(articles: DataFrame, model: DataFrame) -> DataFrame:
