@@ -131,3 +131,26 @@ def bench_word_ngrams(text: Column) -> Column:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
     return F.when(F.size(words) < 2, F.array(text)).otherwise(F.array_distinct(F.concat(pairs, words)))
+
+
+def annotated(content: Column, sentences: Column, categories: Column) -> Column:
+    """(text, notes): a content with its core sentences marked strong and its fillers as footnotes, numbered from the end; secondary ones stay.
+
+    ``categories`` has core, secondary or filler by sentence; what it lacks is filler. A sentence that the content does not hold
+    still takes its number. ``notes`` are (number, sentence) in the order of the text. Null if any part is null or empty.
+    """
+    pairs = F.reverse(F.transform(sentences, lambda x, i: F.struct(x.alias("s"), F.coalesce(F.get(categories, i), F.lit("filler")).alias("c"))))
+    none = F.array().cast("array<struct<number:int,sentence:string>>")
+    start = F.struct(content.alias("text"), F.lit(1).alias("next"), none.alias("notes"))
+
+    def step(acc: Column, x: Column) -> Column:
+        filler, at = ~x["c"].isin("core", "secondary"), F.instr(acc["text"], x["s"])
+        new = F.when(x["c"] == "core", F.concat(F.lit("<strong>"), x["s"], F.lit("</strong>"))).otherwise(F.concat(F.lit("[^"), acc["next"].cast("string"), F.lit("]")))
+        changed = F.concat(F.substring(acc["text"], F.lit(1), at - 1), new, F.substring(acc["text"], at + F.length(x["s"]), F.length(acc["text"])))
+        note = F.array(F.struct(acc["next"].alias("number"), x["s"].alias("sentence")))
+        return F.struct(
+            F.when((at > 0) & (x["c"] != "secondary"), changed).otherwise(acc["text"]).alias("text"), (acc["next"] + filler.cast("int")).alias("next"), F.when(filler, F.concat(note, acc["notes"])).otherwise(acc["notes"]).alias("notes")
+        )
+
+    done = F.aggregate(pairs, start, step)
+    return F.when((content != "") & (F.size(sentences) > 0) & (F.size(categories) > 0), F.struct(done["text"].alias("text"), done["notes"].alias("notes")))

@@ -49,3 +49,14 @@ def test_pages(spark):
     df = spark.createDataFrame([(page,), (None,), ("",), ("<p>open",)], "p string")
     out = [r.m for r in df.select(html.markdown_column(F.col("p")).alias("m")).collect()]
     assert out[1] is None and out[2] == "" and df.select(html.fields_column(F.col("p")).alias("f")).first().f.title == "T"
+
+
+def test_annotated_sentences(spark):
+    s = ["One (a) two.", "Three.", "Four five.", "Six."]
+    text = "\n".join(["# H", *s])
+    rows = [(text, s, ["core", None, "secondary"]), (None, s, ["core"]), ("", s, ["core"]), (text, [], ["core"]), (text, ["not there", "Three."], ["filler", "filler"])]
+    df = spark.createDataFrame(rows, "c string, s array<string>, k array<string>")
+    got = [r.a for r in df.select(T.annotated(F.col("c"), F.col("s"), F.col("k")).alias("a")).collect()]
+    assert got[0].text == "# H\n<strong>One (a) two.</strong>\n[^2]\nFour five.\n[^1]" and [tuple(n) for n in got[0].notes] == [(2, "Three."), (1, "Six.")]
+    assert got[1:4] == [None] * 3
+    assert got[4].text == text.replace("Three.", "[^1]") and [tuple(n) for n in got[4].notes] == [(2, "not there"), (1, "Three.")]
