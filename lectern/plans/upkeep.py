@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from lectern.functions import text as T
 from lectern.functions.vectors import norm
 from lectern.operators import graph, ingest, pipelines, resolution, scoring, selection, similarity, upkeep
 from lectern.plans import queries as Q
-from lectern.runtime import load, staged
+from lectern.runtime import load
 from lectern.sources import views as V
 
 r6 = Q.r6
@@ -125,9 +123,13 @@ def bench_words(s: SparkSession, d: str) -> DataFrame:
     return V.entities(s, d).select("id", F.explode(T.bench_word_ngrams(T.bench_normalized(F.col("name")))).alias("gram"))
 
 
+def _last_words(s: SparkSession, d: str) -> DataFrame:
+    return V.entities(s, d).where(F.col("classified_as") == "canonical").select("id", F.col("entity_type").alias("type"), F.element_at(F.split("name", " "), -1).alias("word"))
+
+
 def _truth(s: SparkSession, d: str) -> DataFrame:
-    last = V.entities(s, d).where(F.col("classified_as") == "canonical").select("id", F.col("entity_type").alias("type"), F.element_at(F.split("name", " "), -1).alias("w"))
-    return last.withColumnRenamed("id", "a").join(last.withColumnRenamed("id", "b"), ["type", "w"]).where(F.col("a") < F.col("b")).select("a", "b")
+    last = _last_words(s, d)
+    return last.withColumnRenamed("id", "a").join(last.withColumnRenamed("id", "b"), ["type", "word"]).where(F.col("a") < F.col("b")).select("a", "b")
 
 
 def band_collisions(s: SparkSession, d: str) -> DataFrame:
@@ -374,17 +376,8 @@ def ratio_training_pairs(s: SparkSession, d: str) -> DataFrame:
 
 def lsh_grid(s: SparkSession, d: str) -> DataFrame:
     """Hits, false pairs and misses at a similarity of 0.3 for several numbers of bands; those that do not divide the signature are left out."""
-    sig, true = Q._signed(s, d), staged(_truth(s, d), "true-pairs")
-    out = []
-    for bands in (10, 12, 25, 50):
-        if similarity.HASHES % bands:
-            continue
-        rows = sig.select("id", "type", F.posexplode(similarity.bands(F.col("signature"), bands)).alias("band", "key"))
-        pairs = rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), ["type", "band", "key"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
-        side = lambda n: sig.select(F.col("id").alias(n), F.col("grams").alias(f"g{n}"))
-        exact = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity.jaccard(F.col("ga"), F.col("gb")).alias("exact"))
-        out.append(similarity.evaluation(exact, true, [0.3]).select(F.lit(bands).alias("bands"), "tp", "fp", "fn"))
-    return reduce(DataFrame.unionByName, out)
+    counts = [n for n in (10, 12, 25, 50) if similarity.HASHES % n == 0]
+    return similarity.grid(Q._signed(s, d), _last_words(s, d), counts, 0.3)
 
 
 def corpus_overview(s: SparkSession, d: str) -> DataFrame:

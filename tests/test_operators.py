@@ -133,3 +133,26 @@ def test_lsh_evaluation_counts_pairs_the_bands_miss(spark, tmp_path):
     assert (0, 1) not in {(r.a, r.b) for r in queries.lsh_candidates(spark, d).collect()}
     for r in queries.lsh_eval(spark, d).collect():
         assert r.tp + r.fn == 1 and r.fn == 1 and r.recall == 0
+
+
+def test_grid_counts_pairs_without_listing_them(spark, tmp_path, monkeypatch):
+    """The blocks' counts equal those of the listed pairs, whatever the blocks, and no band is joined with itself."""
+    from lectern.plans import upkeep
+
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    monkeypatch.setattr(similarity, "TILE", 2)
+    monkeypatch.setattr(similarity, "COLUMNS", 5)
+    names = ["Ana Lee", "Ana Leo", "Anna Lee", "Hana Lee", "Bo Lee", "Ana Lea", "Xu", "Ana Lee", "..", "Bob Lee"]
+    rows = [(i, n, "PERSON" if i != 7 else "ORG", "canonical") for i, n in enumerate(names)] + [(20, "Ana Lee", None, "canonical"), (21, "Ana Lee", "PERSON", "alias"), (22, None, "ORG", "canonical")]
+    d = data_dir(spark, tmp_path, named_entities=(rows, "id long, name string, entity_type string, classified_as string"))
+    sig = similarity.signed(spark.createDataFrame([r[:3] for r in rows if r[3] == "canonical"], "id long, name string, type string")).collect()
+    word = {i: (t, n.split(" ")[-1]) for i, n, t, c in rows if c == "canonical" and t and n}
+    true = {(a, b) for a in word for b in word if a < b and word[a] == word[b]}
+    want = []
+    for n in (10, 25, 50):
+        keys = {r.id: {(k, *r.signature[k * (50 // n) : (k + 1) * (50 // n)]) for k in range(n)} for r in sig}
+        near = {(x.id, y.id) for x in sig for y in sig if x.id < y.id and x.type and x.type == y.type and keys[x.id] & keys[y.id] and len({*x.grams} & {*y.grams}) / len({*x.grams} | {*y.grams}) >= 0.3}
+        want.append((n, len(near & true), len(near - true), len(true - near)))
+    grid = upkeep.lsh_grid(spark, d)
+    assert sorted(map(tuple, grid.collect())) == want and want[0] != want[1]
+    assert "posexplode" not in grid._jdf.queryExecution().optimizedPlan().toString()
