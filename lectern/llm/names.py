@@ -1,7 +1,7 @@
 """Variant spellings of one person, organisation or place.
 
-Method: distinct spellings are blocked by phonetic codes of their tokens: the consonant codes of all tokens of three
-or more letters, whole and by halves, so one edit leaves a key intact. Pairs of a block are compared token by token
+Method: distinct spellings are blocked by phonetic codes of their tokens: the consonant codes of each two tokens of three
+or more letters, whole and by halves, so one edit leaves a key intact; one such token and an initial where there is no second. Pairs of a block are compared token by token
 with Jaro-Winkler, a nickname table and rules for initials and abbreviations; accepted pairs are clustered by
 connected components. A spelling that fits several different full names (an initial, a lone surname) joins none
 of them through that pair, and keeps its other pairs.
@@ -293,20 +293,27 @@ def code_keys(code: str) -> set[str]:
     return {code} | ({code[:i] + code[i + 1 :] for i in range(len(code))} if len(code) > 2 else set())
 
 
+def token_keys(token: str) -> set[str]:
+    """The keys of a token's sound; one edit inside "ch" changes two of its consonants, so it is also read as its first letter."""
+    return code_keys(sound(token)) | (code_keys(sound(token.replace("ch", "c"))) if "ch" in token else set())
+
+
+def pair_keys(token: str) -> set[str]:
+    """``token_keys`` with those of the letters where the sound is too short for neighbours, so that one edit of any letter leaves a key."""
+    letters = {f"^{token}"} | {f"^{token[:i]}{token[i + 1 :]}" for i in range(len(token))} if len(sound(token)) <= 2 else set()
+    return token_keys(token) | letters
+
+
 def initials(tokens: list[str]) -> set[str]:
     """The first letters of tokens and of their formal names, and the second ones, which an edit of the first leaves in place."""
     return {n[0] for t in tokens for n in (t, t[1:], *FORMAL.get(t, ())) if n} or {""}
 
 
-#: Spellings of a block from which it is cut by a further token.
-HOT = 32
-
-
 def blocked(found: DataFrame) -> DataFrame:
-    """(basket, item, rest): each spelling's blocks: the sound of a token, however common, with neighbours one edit away, and an initial of another token.
+    """(item, blocks, crossed): each spelling's blocks, (basket, poor), and what it shares with spellings that have two tokens in common with it.
 
-    Nicknames count with the initials of their formal names, so a pair of variants shares a block if one token sounds
-    alike and another one agrees; a spelling of one token has blocks of its own. ``rest`` has the sounds of the other tokens, hashed.
+    A block is the sound of a token, however common, with neighbours one edit away, and an initial of another token. Nicknames count
+    with their formal names. A spelling without a further token in full is ``poor`` in its blocks; ``crossed`` has a hash for the sounds of each two tokens.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,43 +321,46 @@ def blocked(found: DataFrame) -> DataFrame:
             out = []
             for key, person, tokens, core in zip(pdf["key"].tolist(), pdf["person"].tolist(), pdf["tokens"].tolist(), pdf["core"].tolist()):
                 tokens = list(tokens)
-                full = {t: sorted({xxhash.xxh3_64_intdigest(k) >> 1 for n in (t, *FORMAL.get(t, ())) for k in code_keys(sound(n))}) for t in tokens if len(t) >= 3 and t not in HEADS}
+                full = {t: {k for n in (t, *FORMAL.get(t, ())) for k in pair_keys(n)} for t in tokens if len(t) >= 3 and t not in HEADS}
                 heads = {t for t in full if len(t) <= 6 and t not in FORMAL and t not in NICKNAMES and any(short_for(t, h) for h in HEADS)}
-                for t in core if core is not None else tokens:
-                    if t in HEADS:
-                        continue
-                    first = initials([u for n, u in enumerate(tokens) if n != tokens.index(t)])
-                    for kind in kinds(tokens, person):
-                        # What abbreviates a head says as little about a body as the head itself.
-                        rest = sorted({k for u, codes in full.items() if u != t and not (kind == "o" and u in heads) for k in codes})
-                        out += [(f"{kind}{c}|{i}", key, rest) for c in code_keys(sound(t)) for i in first]
+                blocks, crossed = {}, set()
+                for kind in kinds(tokens, person):
+                    # What abbreviates a head says as little about a body as the head itself.
+                    told = [t for t in full if not (kind == "o" and t in heads)]
+                    for t in core if core is not None else tokens:
+                        if t in HEADS:
+                            continue
+                        poor = not any(u != t for u in told)
+                        first = initials([u for n, u in enumerate(tokens) if n != tokens.index(t)])
+                        blocks |= {f"{kind}{c}|{i}": poor for c in token_keys(t) for i in first}
+                        crossed |= {f"{kind}{min(c, d)}|{max(c, d)}" for u in told if u != t for c in full.get(t, ()) for d in full[u]}
+                hashed = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
+                out.append((key, [{"basket": hashed(x), "poor": poor} for x, poor in blocks.items()], [*map(hashed, crossed)]))
             if out:
-                yield pd.DataFrame(out, columns=["block", "item", "rest"])
+                yield pd.DataFrame(out, columns=["item", "blocks", "crossed"])
 
-    made = found.select("key", "person", "tokens", "core").mapInPandas(keys, "block string, item long, rest array<long>")
-    return made.groupBy(F.xxhash64("block").alias("basket"), "item").agg(F.first("rest").alias("rest"))
+    return found.select("key", "person", "tokens", "core").mapInPandas(keys, "item long, blocks array<struct<basket: long, poor: boolean>>, crossed array<long>")
 
 
-def met(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, hot) from (basket, item, rest): (a, b) that meet, and (basket, item, poor) of the hot blocks, which leave the spellings without a further token (``poor``) without partners.
+def met(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, lacking) from ``blocked``: (a, b) that share two tokens, or a block in which both are poor; (poor, item) that share a block in which only the first is poor.
 
-    A block of more than ``HOT`` spellings is cut by the sounds of its spellings' further tokens. A spelling without a further
-    token meets only its like there: what it lacks is what the many others may differ in.
+    The rule is the same for blocks of any size: what a poor spelling lacks is what the others may differ in, so ``fed`` settles these pairs.
     """
     sized = lambda rows: rows.join(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "basket")
-    all_blocks = staged(sized(blocks), "name-blocks")
-    hot = all_blocks.where(F.col("size") > HOT).drop("size")
-    poor = hot.where(F.size("rest") == 0).select("basket", "item")
-    cut = hot.select(F.explode("rest").alias("r"), "basket", "item").select(F.xxhash64("basket", "r").alias("basket"), "item").distinct()
-    met_in = basket_pairs(all_blocks.where(F.col("size") <= HOT)).unionByName(basket_pairs(sized(poor))).unionByName(basket_pairs(sized(cut)))
-    return met_in.select("a", "b"), hot.select("basket", "item", (F.size("rest") == 0).alias("poor"))
+    crossed = keys.select("item", F.explode("crossed").alias("basket"))
+    blocks = keys.select("item", F.explode("blocks").alias("x")).select("item", "x.basket", "x.poor")
+    poor = staged(blocks.where("poor").select("basket", "item"), "poor-names")
+    rich = blocks.where(~F.col("poor")).select("basket", "item")
+    lacking = poor.withColumnRenamed("item", "poor").join(rich, "basket").select("poor", "item").distinct()
+    return basket_pairs(sized(crossed)).unionByName(basket_pairs(sized(poor))).select("a", "b"), lacking
 
 
-def fed(hot: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): each poor spelling of a hot block whose other members are all of one cluster, with one of these."""
-    known = hot.where(~F.col("poor")).join(clusters.withColumnRenamed("v", "item"), "item", "left").withColumn("c", F.coalesce("c", "item"))
-    one = known.groupBy("basket").agg(F.min("c").alias("c"), F.max("c").alias("d"), F.min("item").alias("low")).where(F.col("c") == F.col("d"))
-    return hot.where("poor").join(one, "basket").select(F.least("item", "low").alias("a"), F.greatest("item", "low").alias("b"))
+def fed(accepted: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The accepted pairs (poor, item, ...) of the poor spellings whose partners are all of one cluster."""
+    known = accepted.join(clusters.withColumnRenamed("v", "item"), "item", "left").withColumn("c", F.coalesce("c", "item"))
+    one = known.groupBy("poor").agg(F.min("c").alias("c"), F.max("c").alias("d")).where(F.col("c") == F.col("d"))
+    return accepted.join(one.select("poor"), "poor", "left_semi")
 
 
 def compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -379,11 +389,12 @@ def compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def variants(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spellings, clusters): the distinct spellings, and (v, c) of those that have a variant."""
     found = staged(spellings(records), "names")
-    pairs, hot = met(staged(blocked(found), "all-name-blocks"))
-    judged = lambda rows: staged(compared(rows.distinct().repartition(task_count(records.sparkSession), "a", "b"), found), "name-pairs")
-    accepted = judged(pairs)
+    pairs, lacking = met(staged(blocked(found), "name-blocks"))
+    judged = lambda rows: staged(compared(rows.repartition(task_count(records.sparkSession), "a", "b"), found), "name-pairs")
+    accepted = judged(pairs.distinct())
     clusters = staged(components(untorn(accepted)), "name-clusters")
-    more = judged(fed(hot, clusters))
+    lacks = judged(lacking.select(F.col("poor").alias("a"), F.col("item").alias("b")))
+    more = staged(fed(lacks.withColumnsRenamed({"a": "poor", "b": "item"}), clusters).withColumnsRenamed({"poor": "a", "item": "b"}), "fed-names")
     if not more.isEmpty():
         clusters = staged(components(untorn(accepted.unionByName(more))), "name-clusters")
     return found, clusters

@@ -190,3 +190,17 @@ def test_a_torn_spelling_keeps_its_sure_variants(spark):
     assert len({label.get(t, t) for t in sure}) == 1 and sure[0] in label
     assert len({label.get(t, t) for t in sure[:1] + full}) == 3
     assert len({label.get(t, t) for t in typed}) == 1
+
+
+def test_names_do_not_hang_on_the_crowd(spark):
+    """A spelling with an initial keeps its variant however many others share its block, and joins none if two people fit."""
+    own, two = ["F. Gararubru", "Francisco Gararubru Marte"], ["T. Zomiluka", "Tomas Zomiluka Ruiz", "Tomas Zomiluka Pardo"]
+    vowels = [a + b + c + d for a in "aou" for b in "aou" for c in "ao" for d in "ao"]
+    crowd = [f"Felipe G{a}r{b}b{c}r{d} Luna" for a, b, c, d in vowels]
+    near = [("Fund. Vepectagre para la Infancia", "ORG"), ("Fund. Vepechagre para la Infancia", "ORG")]
+    for others in (crowd[:3], crowd):
+        rows = [*((t, "PERSON") for t in own + two + others), *near]
+        found, clusters = names.variants(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, type string"))
+        c = {r.text: r.c for r in found.join(clusters.withColumnRenamed("v", "key"), "key").collect()}
+        assert c[own[0]] == c[own[1]] and c[near[0][0]] == c[near[1][0]]
+        assert two[0] not in c
