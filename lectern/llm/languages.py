@@ -68,9 +68,14 @@ def label_code(label: str | None) -> str | None:
     return NAMES.get(text) or NAMES.get(re.split(r"[-_]", text)[0])
 
 
+def piece_word(run: str) -> bytes:
+    """A run as the bytes that are segmented, after a space where its script has them; none if it has no letter."""
+    return (run if "぀" <= run[0] <= "鿿" else " " + run).encode() if any(map(str.isalpha, run)) else b""
+
+
 def piece_words(text: str) -> list[bytes]:
-    """The words of a text as the bytes that are segmented; words after a space begin with one."""
-    return [(w if "぀" <= w[0] <= "鿿" else " " + w).encode() for w in RUN.findall(text.lower()) if any(map(str.isalpha, w))]
+    """The words of a text."""
+    return [w for w in map(piece_word, RUN.findall(text.lower())) if w]
 
 
 class Segmenter:
@@ -78,7 +83,7 @@ class Segmenter:
 
     def __init__(self, table: dict[bytes, np.ndarray], floor: float):
         self.table, self.floor, self.cache = table, np.full(len(CODES), floor), {}
-        self.known = np.zeros((1024, len(CODES)))
+        self.known, self.rows = np.zeros((1024, len(CODES))), 0
 
     def spans(self, word: bytes) -> list[tuple[int, int, np.ndarray]]:
         get, n, out = self.table.get, len(word), []
@@ -100,25 +105,32 @@ class Segmenter:
             alpha[j] += alpha[i] * p
         return alpha, np.log(np.maximum(alpha[-1], 1e-300)), spans
 
-    def index(self, word: bytes) -> int:
-        """The row of a word's log-probabilities in ``known``, which grows with the words met so far."""
-        at = self.cache.get(word)
-        if at is None:
-            self.cache[word] = at = len(self.cache)
-            if at == len(self.known):
-                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-            self.known[at] = self.forward(word)[1]
+    def index(self, run: str) -> int:
+        """The row of a run's log-probabilities in ``known``, which grows with the words met so far; -1 for no word."""
+        word = piece_word(run)
+        if not word:
+            self.cache[run] = -1
+            return -1
+        self.rows += 1
+        if self.rows > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.cache[run] = at = self.rows - 1
+        self.known[at] = self.forward(word)[1]
         return at
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """(log-probability under each language, number of words)."""
-        words = piece_words(text)
-        if not words:
-            return np.zeros(len(CODES)), 0
         if len(self.cache) > 400_000:
             self.cache.clear()  # bounds the memory of a long task
-        rows = [*map(self.index, words)]
-        return self.known[rows].sum(axis=0), len(words)
+            self.rows = 0
+        get, rows = self.cache.get, []
+        for run in RUN.findall(text.lower()):
+            at = get(run)
+            if at is None:
+                at = self.index(run)
+            if at >= 0:
+                rows.append(at)
+        return (self.known.take(rows, axis=0).sum(axis=0), len(rows)) if rows else (np.zeros(len(CODES)), 0)
 
 
 def paragraph_score(model: Segmenter, line: str) -> tuple[np.ndarray, int]:

@@ -181,3 +181,18 @@ def test_languages_on_held_out_rows(spark):
     assert [languages.label_code(x) for x in ("es_DO", "Español", "eng", "??", "", None, "xx", "日本語")] == ["es", "es", "en", None, None, None, None, "ja"]
     odd = spark.createDataFrame([(1, None, "es"), (2, "", None), (3, "... 🌊 12", None), (None, "hola", None)], "doc_id long, text string, lang string")
     assert languages.segments(docs.select("doc_id", "text", "lang").limit(300).unionByName(odd)).where(F.col("doc_id").isin(1, 2, 3) & (F.col("label") == "zz")).count() == 0
+
+
+def test_runs_are_segmented_once(monkeypatch):
+    """A run met again costs one look-up, and the score is still the sum over the words."""
+    asked, plain = [], languages.piece_word
+    model = languages.Segmenter({}, 1e-6)
+    monkeypatch.setattr(languages, "piece_word", lambda run: asked.append(run) or plain(run))
+    text = "Sol y sol; 日本 y sol _ÿ_ 12a"
+    total, n = model.score(text)
+    again, _ = model.score(text)
+    words = languages.piece_words(text)
+    assert n == len(words) and (again == total).all() and (abs(total - sum(model.forward(w)[1] for w in words)) < 1e-9).all()
+    asked.clear()
+    model.score(text + " sol")
+    assert asked == [] and model.score("...")[1] == 0
