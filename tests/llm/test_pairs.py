@@ -71,6 +71,60 @@ def test_names(spark):
     assert names.variants(empty)[1].count() == 0
 
 
+def test_names_that_sound_alike_are_not_listed(spark, monkeypatch):
+    """Names of one sound, none a typing of another, are not written out in pairs."""
+    rnd, listed, compared = random.Random(5), [], names.compared
+    family = lambda: "".join(c + rnd.choice("aeiou") for c in "bdrlntmps")
+    texts = [f"Ana {w}" for w in sorted({family() for _ in range(300)})]
+    monkeypatch.setattr(names, "compared", lambda pairs, found: listed.append(pairs.count()) or compared(pairs, found))
+    found, clusters = names.variants(spark.createDataFrame([(i, t, "PERSON") for i, t in enumerate([*texts, texts[0].upper()])], "id long, text string, type string"))
+    label = {r.text: r.c for r in found.join(clusters, found.key == clusters.v).collect()}
+    assert label[texts[0]] == label[texts[0].upper()]
+    assert sum(listed) < 10 * len(texts)
+
+
+def test_typing_keys():
+    """Typings of one word have a key in common, whatever their length."""
+    rnd = random.Random(9)
+    for size in [*range(3, 24), 40, 90]:
+        for _ in range(60):
+            word = "".join(rnd.choice("abcdeo") for _ in range(size))
+            typed = word
+            for _ in range(rnd.choice((1, 2))):
+                at = rnd.randrange(len(typed))
+                typed = rnd.choice((typed[:at] + typed[at + 1 :], typed[:at] + "x" + typed[at:], typed[:at] + "x" + typed[at + 1 :], typed[:at] + typed[at : at + 2][::-1] + typed[at + 2 :]))
+            if typed != word and names.same_token(word, typed):
+                assert names.typing_keys(word) & names.typing_keys(typed), (word, typed)
+
+
+def test_names_against_all_pairs(spark, monkeypatch):
+    """However common their words are, the accepted pairs are those of all pairs of spellings."""
+    rnd = random.Random(11)
+    given, family = "Ana Anna María Mario Carmen José Pepe Al Ali Jos Franc Francisco".split(), "Marte Martes Marta Munasabre Grovochutra Zilavupi Li Coop Peña Carmen".split()
+
+    def typed(word):
+        at = rnd.randrange(len(word))
+        return rnd.choice([word] * 6 + [word[:at] + word[at + 1 :], word[:at] + "r" + word[at:], word[:1] + ".", word.upper()])
+
+    people = {" ".join(typed(rnd.choice(x)) for x in rnd.choice(((given, family), (given, given, family), (given, family, family), (given, family, family, family), (family, given)))) for _ in range(260)}
+    bodies = {f"{rnd.choice(('Banco', 'Bco.', 'Coop.', 'Fund.'))} {rnd.choice(('Agrícola', 'Agric.', 'de'))} {typed(rnd.choice(family))}{rnd.choice(('', ' Peña', ' Marte Li'))}" for _ in range(60)} | {"Li Bo", "li bo", "LI-BO", "x"}
+    rows = [(i, t, "PERSON" if t in people and rnd.random() < 0.8 else "ORG") for i, t in enumerate(sorted(people | bodies))]
+    found = names.staged(names.spellings(spark.createDataFrame(rows, "id long, text string, type string")), "test-names")
+    each = [(r.key, list(r.tokens), r.person, r.rare, list(r.core)) for r in found.collect()]
+    want = set()
+    for (a, x, p, r, v), (b, y, q, s, w) in itertools.permutations(each, 2):
+        if names.verdict(x, p, r, y, q, s) is not None:
+            (m, crossed), (n, also) = names.meeting(x, p, v), names.meeting(y, q, w)
+            shared = {(m[k], n[k]) for k in m.keys() & n.keys()}
+            want |= {(False, a, b)} if a < b and (crossed & also or (True, True) in shared) else set()
+            want |= {(True, a, b)} if (True, False) in shared else set()
+    assert {lacks for lacks, *_ in want} == {True, False}
+    for common in (2, 32, 10**6):
+        monkeypatch.setattr(names, "COMMON", common)
+        got = {(r.lacks, r.a, r.b) for r in names.compared(names.met(found), found).collect()}
+        assert got == want, (common, len(got), len(want))
+
+
 def linked(spark, rows):
     """(classes, pairs, the comparable texts) of (id, text) rows."""
     keys, texts = map(list, zip(*rows))
