@@ -1,8 +1,9 @@
 """Variant spellings of one person, organisation or place.
 
-Method: distinct spellings are blocked by phonetic codes of their tokens: the consonant codes of each two tokens of three
-or more letters, whole and by halves, so one edit leaves a key intact; one such token and an initial where there is no second. Pairs of a block are compared token by token
-with Jaro-Winkler, a nickname table and rules for initials and abbreviations; accepted pairs are clustered by
+Method: pairs of distinct spellings come from their words: equal ones and typings of one word (by deletion neighbourhoods),
+with something else in common where the word is common. They are compared token by token with Jaro-Winkler, a nickname table and rules
+for initials and abbreviations. Of what is alike, pairs count that meet: by the consonant codes of each two tokens of three or more letters,
+whole and by halves, so one edit leaves a key intact, or of one such token and an initial where there is no second. They are clustered by
 connected components. A spelling that fits several different full names (an initial, a lone surname) joins none
 of them through that pair, and keeps its other pairs.
 
