@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 
 from lectern.llm import components, cooccurrence, names, nearcopies
 
@@ -223,6 +224,24 @@ def test_tiny_texts_on_both_sides(spark):
     assert want <= got and len(want) > 20
 
 
+def test_many_texts_are_hashed_at_once(monkeypatch):
+    """Texts of any length have the runs they have alone, and one pass over the characters serves many texts."""
+    np, rnd, letters = nearcopies.np, random.Random(12), nearcopies.letter_table()
+    odd = "aab\u00e9\u00df\u03a3\u0130\u0301\u00bd\ufb01\ud55c\u0663 .\U0001d54f"
+    texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(60))) for _ in range(300)] + ["a" * n for n in range(20)] + [""]
+    codes = [nearcopies.comparable(t, letters) for t in texts]
+    for text, c in zip(texts, codes):
+        assert "".join(map(chr, c)) == "".join(x for x in unicodedata.normalize("NFKD", text.lower()) if x.isalnum())
+    runs, sizes = nearcopies.distinct_runs(codes)
+    assert sizes.tolist() == [len({tuple(c[k : k + 8].tolist()) for k in range(len(c) - 7)}) for c in codes]
+    alone = [nearcopies.distinct_runs([c])[0] for c in codes]
+    assert np.array_equal(runs, np.concatenate(alone)) and all((a[1:] > a[:-1]).all() for a in alone)
+    passes, made = [], nearcopies.window_hashes
+    monkeypatch.setattr(nearcopies, "window_hashes", lambda c: passes.append(1) or made(c))
+    assert nearcopies.sketch_batch(list(range(len(texts))), texts, letters).num_rows == int((sizes > 0).sum())
+    assert len(passes) <= len(texts) // 16
+
+
 def test_names_meet_by_common_tokens(spark):
     """A token that is far more common than the rarest one of a spelling gives a block too, and so does one next to an edited initial."""
     rnd = random.Random(5)

@@ -196,3 +196,16 @@ def test_runs_are_segmented_once(monkeypatch):
     asked.clear()
     model.score(text + " sol")
     assert asked == [] and model.score("...")[1] == 0
+
+
+def test_lines_without_the_digits_of_any_script():
+    """White space and digits go, of whatever script, and a first word has one hash whether it is met before or not."""
+    rnd = random.Random(8)
+    digits = "".join(chr(c) for c in range(0x110000) if chr(c).isdecimal())
+    signs = digits + "abcÉß  \t\xa0“—½²مहकक्न中文" * 20
+    words: dict = {}
+    for line in [*digits, "", *("x" + "".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(2000))]:
+        assert boilerplate.squeezed(line) == re.sub(r"\d+", "", "".join(line.split()).lower())
+        if line:
+            assert boilerplate.line_role(line, words) == boilerplate.line_role(line, {})
+    assert words
